@@ -24,14 +24,14 @@ def _canonical(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
     larger = both.where("v > u")
-    return join_unique(larger, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_unique(larger, least.select("u", "m"), ["u"], counts=least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = join_unique(edges, least, ["u"])
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    linked = join_unique(edges, least.select("u", "m"), ["u"], counts=least)
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if state[0] == 0:
             break
-        now = cut(_canonical(_small_star(_canonical(_large_star(now)))), "edges")
+        now = cut(_canonical(_small_star(cut(_canonical(_large_star(now)), "half"))), "edges")
         after = _state(now)
         if after == state:
             break

@@ -74,23 +74,24 @@ def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
-def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_share: float = 1 / 256) -> DataFrame:
+#: Left rows from which a key counts as hot, and the number of hot keys handled apart.
+HOT_ROWS, HOT_KEYS = 50_000, 256
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Joins any number of left rows to a right side with at most one row a key, safe for hot left keys.
 
-    Keys that hold more than ``hot_share`` of the left rows number at most
-    ``1 / hot_share``; their right rows are broadcast (the bound is proven by
-    the share), so hot left rows aren't shuffled.  All others take a shuffle join.
-    Null keys match nothing.
+    The ``HOT_KEYS`` fullest keys with more than ``HOT_ROWS`` left rows are taken
+    apart: their right rows, at most that many, are broadcast, so hot left rows
+    aren't shuffled (any other key holds less than one part in ``HOT_KEYS`` of
+    the rows).  The rest takes a shuffle join.  ``counts`` (key columns and
+    ``n``) saves counting the left rows.  Null keys match nothing.
+    Nothing runs here; an empty hot side is pruned when the plan runs.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = left.count()
-    hot = counts.where(F.col("__n") > max(1000, int(total * hot_share))).select(*on).dropna()
-    keys = hot.collect()
-    if not keys:
-        return left.join(right, on, how)
-    spark = left.sparkSession
-    hot_keys = F.broadcast(spark.createDataFrame(keys, hot.schema).withColumn("__hot", F.lit(True)))
-    flagged = left.join(hot_keys, on, "left")
-    warm = flagged.where("__hot").drop("__hot").join(F.broadcast(right.join(hot_keys.drop("__hot"), on, "left_semi")), on, how)
-    cold = flagged.where("__hot IS NULL").drop("__hot").join(right, on, how)
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(counts.where(F.col("n") > HOT_ROWS).dropna(subset=on).orderBy(F.desc("n"), *on).limit(HOT_KEYS).select(*on))
+    few = F.broadcast(right.join(hot, on, "left_semi"))
+    warm = left.join(few, on) if how == "inner" else left.join(hot, on, "left_semi").join(few, on, how)
+    cold = left.join(hot, on, "left_anti").join(right, on, how)
     return warm.unionByName(cold)
