@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points; the size of every per-character lookup table.
 TABLE = 0x110000
@@ -53,7 +54,7 @@ def to_arrow(cp: np.ndarray, off: np.ndarray, mask: np.ndarray | None = None) ->
         ends = before[off]
     out = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
     if mask is not None and mask.any():
-        out = pa.compute.if_else(pa.array(~mask), out, pa.scalar(None, pa.large_string()))
+        out = pc.if_else(pa.array(~mask), out, pa.scalar(None, pa.large_string()))
     return out.cast(pa.string())
 
 
