@@ -62,8 +62,8 @@ def _state(edges: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
-def entity_components(records: DataFrame, key: str, entities: list) -> DataFrame:
-    """(key, component) of records that share any entity, directly or through others.
+def entity_components(records: DataFrame, key: str, entities: list, carry: list[str] | None = None) -> DataFrame:
+    """(key, carried columns, component) of records that share any entity, directly or through others.
 
     ``entities`` are columns (names or expressions), each one kind of entity;
     a null entity links nothing.  The graph is over entity hashes, one edge for
@@ -73,8 +73,11 @@ def entity_components(records: DataFrame, key: str, entities: list) -> DataFrame
     """
     tagged = [F.when(F.col(e).isNotNull() if isinstance(e, str) else e.isNotNull(), F.xxhash64(F.lit(i), e)) for i, e in enumerate(entities)]
     own = F.xxhash64(F.lit("record"), F.col(key))
-    rows = records.select(key, F.array_compact(F.array(*tagged)).alias("e")).select(key, F.when(F.size("e") > 0, F.col("e")).otherwise(F.array(own)).alias("e"))
+    kept = [key, *(carry or [])]
+    rows = records.select(*kept, F.array_compact(F.array(*tagged)).alias("e")).select(*kept, F.when(F.size("e") > 0, F.col("e")).otherwise(F.array(own)).alias("e"))
+    if len(entities) == 1:  # one kind of entity: its hash is the component
+        return rows.select(*kept, F.col("e")[0].alias("component"))
     links = rows.where("size(e) > 1").select(F.col("e")[0].alias("u"), F.explode(F.slice("e", 2, len(entities))).alias("v")).distinct()
     found = connected_components(links)
-    keyed = rows.select(key, F.col("e")[0].alias("node"))
-    return join_unique(keyed, found, ["node"], "left").select(key, F.coalesce("component", "node").alias("component"))
+    keyed = rows.select(*kept, F.col("e")[0].alias("node"))
+    return join_unique(keyed, found, ["node"], "left").select(*kept, F.coalesce("component", "node").alias("component"))
