@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+_SOURCE = """lower(trim(dataset)) || chr(1) || trim(regexp_replace(lower(trim(source_id)), '^\\./', ''))"""
+
+_FORM = """nullif(regexp_replace(regexp_replace({0}, '[\\[\\]【】［］()（）,，、\\s\u00a0\u2000-\u200b\u202f\u205f\u3000\ufeff]', '', 'g'), '罪$', ''), '')"""
+
+_CANDIDATES = f"""
+listed AS (SELECT charge, target_share, min_rows, {_FORM.format("charge")} AS form FROM charge_targets WHERE charge IS NOT NULL),
+keyed AS (SELECT t.ref_no, coalesce(t.id, chr(1) || t.ref_no) AS id, l.charge AS category
+          FROM (SELECT ref_no, id, {_FORM.format("charge")} AS form FROM train_references WHERE split = 'train') t JOIN listed l USING (form)),
+once AS (SELECT id, arg_min(category, ref_no) AS category FROM keyed GROUP BY id),
+n AS (SELECT category, count(*) AS n FROM once GROUP BY category),
+size AS (SELECT floor(round(0.1 * (SELECT count(*) FROM once), 6)) AS s),
+quota AS (SELECT l.charge, l.target_share, l.min_rows, coalesce(n.n, 0) AS n_rows,
+          CAST(greatest(coalesce(l.min_rows, 0), ceil(round(coalesce(l.target_share, 0) * s, 6))) AS BIGINT) AS wanted
+          FROM listed l CROSS JOIN size LEFT JOIN n ON n.category = l.charge)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"""
+WITH t AS (SELECT ref_no, split, {_SOURCE} AS src FROM train_references WHERE dataset IS NOT NULL AND source_id IS NOT NULL AND split IS NOT NULL)
+SELECT ref_no FROM t WHERE src IN (SELECT src FROM t GROUP BY src HAVING count(DISTINCT split) > 1)""",
+        "p5_found": f"WITH {_CANDIDATES} SELECT charge FROM quota WHERE n_rows < wanted",
+        "p5_quotas": f"WITH {_CANDIDATES} SELECT charge, target_share, min_rows, n_rows, wanted, greatest(wanted - n_rows, 0) AS deficit FROM quota",
+    }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.session import cut, load
 
-from . import forms, leakage, neardup, overlap, sampling, splits
+from . import forms, leakage, mixing, neardup, overlap, pieces, sampling, sentences, splits, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_counts(load(spark, sf_dir, "train_references"), "ref_no", "facts", "split", ["dataset", "source_id"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "train_references")
+    return sentences.sentence_units(rows, "ref_no", "facts", sentences.train(sentences.sample(rows, "ref_no", "facts")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.straddling_rows(load(spark, sf_dir, "train_references"), "ref_no", [splits.source_entity()], "split")
 
@@ -93,5 +98,40 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.clean_documents(documents, _leaks(spark, sf_dir), "doc_id").select("doc_id", "source", "lang")
 
 
+def _mixture_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = cut(tokens.with_token_counts(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text"), "tokens")
+    return counted, mixing.source_plan(counted, load(spark, sf_dir, "source_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture_plan(spark, sf_dir)[1].where("short").select("source")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture in its global order: each use of a document."""
+    counted, plan = _mixture_plan(spark, sf_dir)
+    return mixing.shuffled(mixing.replicate(counted, plan, "doc_id"), "doc_id").select("doc_id", "copy", "source", "n_tokens", "place")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of p8_mixture."""
+    counted, plan = _mixture_plan(spark, sf_dir)
+    return mixing.reached_shares(mixing.replicate(counted, plan, "doc_id"), plan)
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "documents")
+    return pieces.split_oversized(rows, "doc_id", "text", model=sentences.train(sentences.sample(rows, "doc_id", "text", 500)))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1,500 tokens of every document that has more."""
+    return _pieces(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
