@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cases, evaluation, texts
+from . import cases, evaluation, ledgers, logic, stars, texts
 
-MODULES = [cases, texts, evaluation]
+MODULES = [cases, texts, evaluation, ledgers, logic, stars]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
