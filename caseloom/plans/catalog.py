@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cases, evaluation, ledgers, logic, stars, texts
+from . import cases, evaluation, ledgers, logic, stars, streams, texts
 
-MODULES = [cases, texts, evaluation, ledgers, logic, stars]
+MODULES = [cases, texts, evaluation, ledgers, logic, stars, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
