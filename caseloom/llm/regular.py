@@ -146,7 +146,6 @@ class _Tables:
             self.look[ord(pair[1])] = True
         self.blank = np.zeros(n, bool)
         self.blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B)]] = True
-        self.alnum = np.zeros(n, bool)
 
 
 @lru_cache(maxsize=1)
@@ -337,9 +336,9 @@ def regular(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         flat = np.concatenate((t.flat, part))
         start = np.where(t.mapped[part], t.start[part], np.arange(len(part)) + len(t.flat))
         part, at, _ = C.expand(part, at, size, start, flat)
+    part = _alphabets(t, part, at)  # before composition: a look-alike base takes the marks of its twin
     part, at = _nfc(t, part, at)
     part, at = _sequences(part, at)
-    part = _alphabets(t, part, at)
     part = _kana(t, part, at)
     longer = np.diff(at) != np.diff(old_at)
     differs = longer.copy()
