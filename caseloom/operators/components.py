@@ -75,8 +75,6 @@ def entity_components(records: DataFrame, key: str, entities: list, carry: list[
     own = F.xxhash64(F.lit("record"), F.col(key))
     kept = [key, *(carry or [])]
     rows = records.select(*kept, F.array_compact(F.array(*tagged)).alias("e")).select(*kept, F.when(F.size("e") > 0, F.col("e")).otherwise(F.array(own)).alias("e"))
-    if len(entities) == 1:  # one kind of entity: its hash is the component
-        return rows.select(*kept, F.col("e")[0].alias("component"))
     links = rows.where("size(e) > 1").select(F.col("e")[0].alias("u"), F.explode(F.slice("e", 2, len(entities))).alias("v")).distinct()
     found = connected_components(links)
     keyed = rows.select(*kept, F.col("e")[0].alias("node"))

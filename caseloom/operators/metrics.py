@@ -34,7 +34,7 @@ def summary_columns() -> list[Column]:
     n, valid = F.count(F.lit(1)), F.coalesce(F.sum(F.col("valid").cast("bigint")), F.lit(0))
     mae = F.avg(F.when(F.col("valid"), F.col("absolute_error")))
     rmse = F.sqrt(F.avg(F.when(F.col("valid"), F.col("absolute_error").cast("double") * F.col("absolute_error"))))
-    return [n.alias("n"), valid.alias("n_valid"), (valid / n).alias("coverage"), mae.alias("mae_valid"), rmse.alias("rmse_valid"), F.when(valid == n, mae).alias("mae_full"), F.when(valid == n, rmse).alias("rmse_full")]
+    return [n.alias("n"), valid.alias("n_valid"), F.try_divide(valid, n).alias("coverage"), mae.alias("mae_valid"), rmse.alias("rmse_valid"), F.when(valid == n, mae).alias("mae_full"), F.when(valid == n, rmse).alias("rmse_full")]
 
 
 def summarize(detail: DataFrame, *by: str) -> DataFrame:
@@ -66,7 +66,7 @@ def bootstrap(deltas: DataFrame, key: str = "id", samples: int = 2000, seed: int
     weight = F.lit(0)
     for s in steps:
         weight = weight + (u >= s).cast("int")
-    means = draws.groupBy("b").agg((F.sum(F.col("delta") * weight) / F.sum(weight)).alias("m"))
+    means = draws.groupBy("b").agg(F.try_divide(F.sum(F.col("delta") * weight), F.sum(weight)).alias("m"))
     ends = means.agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
     return deltas.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean_delta")).crossJoin(F.broadcast(ends))
 
@@ -107,4 +107,4 @@ def reweighted_mean(left: DataFrame, right: DataFrame, group: str, value: str) -
     """(mean): the left means of each group under the right side's shares of those groups."""
     means = left.groupBy(group).agg(F.avg(value).alias("m"))
     n = right.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(means, group).where("m IS NOT NULL").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    return n.join(means, group).where("m IS NOT NULL").agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("mean"))
