@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import cut, join_unique
+from caseloom.session import HOT_ROWS, cut, join_unique
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,22 @@ def _canonical(edges: DataFrame) -> DataFrame:
     return edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges with the least node of their u; a graph of fewer edges than a hot key has takes a plain join."""
+    right = least.select("u", "m")
+    return edges.join(right, "u") if n <= HOT_ROWS // 2 else join_unique(edges, right, ["u"], counts=least)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
     larger = both.where("v > u")
-    return join_unique(larger, least.select("u", "m"), ["u"], counts=least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(larger, least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    linked = join_unique(edges, least.select("u", "m"), ["u"], counts=least)
+    linked = _with_least(edges, least, n)
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -45,7 +51,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if state[0] == 0:
             break
-        now = cut(_canonical(_small_star(cut(_canonical(_large_star(now)), "half"))), "edges")
+        now = cut(_canonical(_small_star(cut(_canonical(_large_star(now, state[0])), "half"), state[0])), "edges")
         after = _state(now)
         if after == state:
             break
@@ -76,6 +82,9 @@ def entity_components(records: DataFrame, key: str, entities: list, carry: list[
     kept = [key, *(carry or [])]
     rows = records.select(*kept, F.array_compact(F.array(*tagged)).alias("e")).select(*kept, F.when(F.size("e") > 0, F.col("e")).otherwise(F.array(own)).alias("e"))
     links = rows.where("size(e) > 1").select(F.col("e")[0].alias("u"), F.explode(F.slice("e", 2, len(entities))).alias("v")).distinct()
-    found = connected_components(links)
+    links = cut(links, "links")
     keyed = rows.select(*kept, F.col("e")[0].alias("node"))
+    if not links.limit(1).count():  # no record has two entities: each entity is a component
+        return keyed.select(*kept, F.col("node").alias("component"))
+    found = connected_components(links)
     return join_unique(keyed, found, ["node"], "left").select(*kept, F.coalesce("component", "node").alias("component"))

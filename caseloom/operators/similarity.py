@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import gram_hashes
-from caseloom.session import cut, fits_broadcast
+from caseloom.session import cut, fits_broadcast, spread
 
 LEAST_RUNS = 20
 #: Guard run hashes that may be broadcast (12 bytes each, some 25 MB); more take a shuffle join.
@@ -19,7 +19,7 @@ MOST_BROADCAST = 1_000_000
 
 def gram_table(df: DataFrame, key: str, form: Column) -> DataFrame:
     """(id, form_hash, runs) of every text that isn't null or blank in its normal form."""
-    return df.select(F.col(key).alias("id"), form.alias("__f")).where("__f IS NOT NULL AND __f <> ''").select("id", F.xxhash64("__f").alias("form_hash"), gram_hashes(F.col("__f")).alias("runs"))
+    return spread(df.select(F.col(key).alias("id"), form.alias("__f"))).where("__f IS NOT NULL AND __f <> ''").select("id", F.xxhash64("__f").alias("form_hash"), gram_hashes(F.col("__f")).alias("runs"))
 
 
 def guard_matches(corpus: DataFrame, guard: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -51,7 +51,6 @@ def containment_pairs(grams: DataFrame, threshold: float = 0.85) -> DataFrame:
     often = flat.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Runs that stand in one text only come first in the order of rarity and match nothing.
     kept = flat.join(often, "run")
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     ranked = kept.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("r"))
     head = ranked.select("id", "n", F.explode(F.expr("slice(r, 1, greatest(0, n - cast(ceil(n * {0} - 1e-9) as int) + 1 - (n - size(r))))".format(threshold))).alias("x")).select("id", "n", F.col("x.run").alias("run"))
     pairs = head.where(f"n >= {LEAST_RUNS}").alias("s").join(kept.alias("l"), "run").where("s.n < l.n OR (s.n = l.n AND s.id <> l.id)").select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b")).distinct()
@@ -60,7 +59,6 @@ def containment_pairs(grams: DataFrame, threshold: float = 0.85) -> DataFrame:
     near = checked.where(F.col("n_shared") >= F.col("n_least") * threshold)
     same = sized.select("id", "form_hash", "n")
     equal = same.alias("x").join(same.alias("y"), "form_hash").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").cast("bigint").alias("n_shared"), F.col("x.n").alias("n_least"))
-    del prefix
     return near.unionByName(equal).distinct()
 
 
@@ -76,7 +74,6 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, key: str, order: Column) ->
     linked = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     ranked = linked.join(rank.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(rank.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
     todo = cut(ranked.where("rb < ra").select("a", "b"), "greedy")  # a has the earlier neighbour b
-    touched = cut(ranked.select(F.col("a").alias("id")).distinct(), "touched")
     dropped = None
     while todo.limit(1).count():
         free = todo.select(F.col("b").alias("id")).distinct().join(todo.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
@@ -84,5 +81,4 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, key: str, order: Column) ->
         dropped = out if dropped is None else dropped.unionByName(out)
         gone = todo.join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
         todo = cut(gone, "greedy")
-    del touched
     return nodes if dropped is None else nodes.join(dropped.withColumnRenamed("id", key), key, "left_anti")

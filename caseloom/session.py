@@ -46,6 +46,16 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _LOCAL_CHECKPOINTS[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as there are cores.
+
+    Only a table read from fewer files or row groups than that (a small one) is
+    dealt out anew, before work that is heavy per row; a large one is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
