@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.session import spread
+
 from . import codepoints as C
 from . import regular as R
 from . import shingles as S
@@ -66,7 +68,7 @@ def fingerprints(df: DataFrame, key: str, text: str, schema: str, make: Callable
                 arrays += [pa.array(ka[full]), pa.array(kb[full])]
                 yield pa.RecordBatch.from_arrays(arrays + make(h, lean), names=names)
 
-    return df.select(key, *carry, text).mapInArrow(run, f"{kinds}, ka bigint, kb bigint, {schema}")
+    return spread(df.select(key, *carry, text)).mapInArrow(run, f"{kinds}, ka bigint, kb bigint, {schema}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, measure: str, least: float) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from caseloom.session import spread
+
 from . import codepoints as C
 from . import regular as R
 from .batches import slices
@@ -64,4 +66,4 @@ def irregular_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
                     keys = batch.column(key).filter(hit)
                     yield pa.RecordBatch.from_arrays([keys, pa.array([name] * len(keys), pa.string())], names=[key, "field"])
 
-    return df.select(key, *columns).mapInArrow(run, schema)
+    return spread(df.select(key, *columns)).mapInArrow(run, schema)

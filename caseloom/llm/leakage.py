@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from caseloom.session import spread
+
 from . import codepoints as C
 from . import regular as R
 from .batches import slices
@@ -165,7 +167,7 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
                 doc, item, length, begin = search(found, cp, off)
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(doc)), item_keys.take(pa.array(item)), pa.array(length), pa.array(begin)], names=[key, item_key, "match_length", "match_start"])
 
-    return documents.select(key, text).mapInArrow(run, out_schema)
+    return spread(documents.select(key, text)).mapInArrow(run, out_schema)
 
 
 def clean_documents(documents: DataFrame, found: DataFrame, key: str) -> DataFrame:

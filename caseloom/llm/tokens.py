@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from caseloom.session import spread
+
 #: Where vocabulary files are looked for unless a path is given.
 FOLDER = os.environ.get("CASELOOM_TOKENIZERS", "/opt/tokenizers")
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
@@ -54,4 +56,4 @@ def with_token_counts(df: DataFrame, text: str, out: str = "n_tokens", tokenizer
             n = pa.array(count(batch.column(text).to_pylist(), path), pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], n], names=[*names, out])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
