@@ -53,7 +53,7 @@ def canonical_cases(t: Tables) -> DataFrame:
 def canonicalized_raw(t: Tables) -> DataFrame:
     """Raw records brought to the canonical schema, with what is wrong with each."""
     raw = t.raw_cases.select(F.concat_ws(":", "member", F.col("line_no").cast("string")).alias("source_id"), "fact", F.get("meta.accusation", F.lit(0)).alias("charge"), F.col("meta.term_of_imprisonment.imprisonment").alias("judge"))
-    return K.canonicalize(raw, "cail", "train")
+    return K.canonicalize(raw, "raw", "train")
 
 
 @P.add("SELECT ref_no, sha256('{\"charge\":' || to_json(charge)::VARCHAR || ',\"facts\":' || to_json(facts)::VARCHAR || '}') AS input_digest FROM train_references WHERE facts IS NOT NULL AND charge IS NOT NULL AND facts NOT LIKE '%' || chr(127) || '%'")
