@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,6 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_CHECKPOINTS:
         _LOCAL_CHECKPOINTS[app] = tempfile.mkdtemp(prefix="caseloom-")
+        atexit.register(shutil.rmtree, _LOCAL_CHECKPOINTS[app], True)
     return "file://" + _LOCAL_CHECKPOINTS[app]
 
 
@@ -50,8 +51,11 @@ def spread(df: DataFrame) -> DataFrame:
     """The frame in at least as many partitions as there are cores.
 
     Only a table read from fewer files or row groups than that (a small one) is
-    dealt out anew, before work that is heavy per row; a large one is left as it is.
+    dealt out anew, before work that is heavy per row; a large one is left as it is,
+    and so is what comes out of a shuffle (asking for its partitions would run it).
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
