@@ -34,3 +34,30 @@ def streaks(ledger: DataFrame, by: str, order: list[str], failed) -> DataFrame:
     marked = ledger.withColumn("__f", failed.cast("int")).withColumn("__n", F.row_number().over(w)).withColumn("__g", F.sum(1 - F.col("__f")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = marked.where("__f = 1").groupBy(by, "__g").agg(F.count(F.lit(1)).alias("n_failures"), F.min("__n").alias("first_row"), F.max("__n").alias("last_row"))
     return runs.select(by, F.row_number().over(Window.partitionBy(by).orderBy("first_row")).alias("streak_no"), "n_failures", "first_row", "last_row")
+
+
+def pending_tasks(tasks: DataFrame, ledger: DataFrame, request: str) -> DataFrame:
+    """Tasks whose request the ledger doesn't hold in any state (a pending entry counts: its outcome is uncertain)."""
+    return tasks.join(ledger.where(F.col(request).isNotNull()).select(request).distinct(), request, "left_anti")
+
+
+def respond(tasks: DataFrame, request: str, payload: str, responder) -> DataFrame:
+    """(request, status, result, reason) of every task, answered by ``responder(payload) -> str``.
+
+    The responder is any picklable function; it runs on the executors, once a
+    row, and its exceptions become rejected entries instead of failing the job.
+    Budgets belong before this: cut the tasks with ``open_requests`` or a limit.
+    """
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for key, text in zip(frame["k"], frame["p"]):
+                try:
+                    rows.append((key, "accepted", responder(text), None))
+                except Exception as error:
+                    rows.append((key, "rejected", None, type(error).__name__))
+            yield pd.DataFrame(rows, columns=[request, "status", "result", "reason"])
+
+    return tasks.select(F.col(request).alias("k"), F.col(payload).alias("p")).mapInPandas(run, f"`{request}` string, status string, result string, reason string")

@@ -108,3 +108,23 @@ def reweighted_mean(left: DataFrame, right: DataFrame, group: str, value: str) -
     means = left.groupBy(group).agg(F.avg(value).alias("m"))
     n = right.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     return n.join(means, group).where("m IS NOT NULL").agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("mean"))
+
+
+def frame_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of either frame that the other lacks, repeated rows counted, with ``side``; empty if both hold the same."""
+    cols = sorted(left.columns)
+    if cols != sorted(right.columns):
+        raise ValueError("the frames have different columns")
+    a, b = left.select(*cols), right.select(*cols)
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def vector_differences(vectors: DataFrame, reference: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, max_abs, same): the greatest absolute difference of each vector from the one reference row.
+
+    Null for a vector of another length; ``reference`` is a single row and is broadcast.
+    """
+    one = F.broadcast(reference.limit(1).select(F.col(vector).alias("__r")))
+    gap = F.array_max(F.zip_with(F.col(vector), F.col("__r"), lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
+    fits = F.size(vector) == F.size("__r")
+    return vectors.crossJoin(one).select(key, F.when(fits, gap).alias("max_abs"), (F.col(vector) == F.col("__r")).alias("same"))

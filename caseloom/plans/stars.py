@@ -90,4 +90,12 @@ def cosine_topk(t: Tables) -> DataFrame:
     return out.withColumn("rank", rank).where("rank <= 5").select("query_id", "vec_id", "rank")
 
 
+@P.add("SELECT e.vec_id, list_max(list_transform(list_zip(e.embedding, r.embedding), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) AS max_abs, e.embedding = r.embedding AS same FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) r")
+def vector_differences(t: Tables) -> DataFrame:
+    """Each vector against that of the first id."""
+    from caseloom.operators.metrics import vector_differences as differences
+
+    return differences(t.embeddings, t.embeddings.orderBy("vec_id").limit(1), "vec_id", "embedding")
+
+
 QUERIES, SQL = P.queries, P.sql

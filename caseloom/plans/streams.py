@@ -45,6 +45,16 @@ def streamed_ledger_state(t: Tables) -> DataFrame:
     return out.groupBy("request_hash").agg(F.max_by(F.struct("state", "attempts", "last_attempt"), "batch").alias("s")).select("request_hash", "s.*")
 
 
+@P.add("SELECT request_hash, state, attempts, last_attempt, 'left' AS side FROM (SELECT '' AS request_hash, '' AS state, 0::BIGINT AS attempts, 0::BIGINT AS last_attempt) WHERE false")
+def ledger_rebuilt_differs(t: Tables) -> DataFrame:
+    """The streamed ledger state against the batch fold, both ways; nothing is left over."""
+    from caseloom.operators.metrics import frame_differences
+
+    from .ledgers import state
+
+    return frame_differences(streamed_ledger_state(t), state(t))
+
+
 @P.add("SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS start, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def streamed_hourly_counts(t: Tables) -> DataFrame:
     """Hourly counts by a stream in complete state: the last version of each window."""

@@ -234,3 +234,17 @@ def test_packaging(spark):
     assert [r.ref_no for r in G.training_pairs(df, "ref_no", "sys").collect()] == [1]
     part = K.partition_reviewed(df, "ref_no", df.where("ref_no = 1"), df.where("ref_no IN (1, 2)")).groupBy("part").count().collect()
     assert {r.part: r["count"] for r in part} == {"quarantine": 1, "pending": 1, "retained": 2}
+
+
+def test_responder_and_differences(spark):
+    tasks = spark.createDataFrame([("r1", "1"), ("r2", "x"), ("r3", "5"), (None, "7")], "request string, body string")
+    ledger = spark.createDataFrame([("r3", "pending"), (None, "accepted")], "request string, status string")
+    todo = L.pending_tasks(tasks, ledger, "request").where("request IS NOT NULL")
+    got = {r.request: (r.status, r.result, r.reason) for r in L.respond(todo, "request", "body", lambda x: str(int(x) + 1)).collect()}
+    assert got == {"r1": ("accepted", "2", None), "r2": ("rejected", None, "ValueError")}
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "i int, s string")
+    b = spark.createDataFrame([("x", 1), (None, 2), (None, 3)], "s string, i int")
+    assert sorted(tuple(r) for r in E.frame_differences(a, b).select("i", "side").collect()) == [(1, "left"), (3, "right")]
+    assert E.frame_differences(a, a.orderBy("i")).count() == 0
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.5, 0.0]), (3, [1.0]), (4, None)], "i int, v array<double>")
+    assert [(r.max_abs, r.same) for r in E.vector_differences(v, v.where("i = 1"), "i", "v").orderBy("i").collect()] == [(0.0, True), (2.0, False), (None, False), (None, None)]
