@@ -15,8 +15,9 @@ Scale: copies are collapsed first and stand as one text.  Variants are counted
 before any pairing (map-side combined), only those that hold two texts or more
 are joined, and only variants of up to ``MOST`` texts give pairs.  A variant
 held by more texts is refined by the variants of the segments after its own, and one
-that stays hot after that is worked off by leaders: all its texts are verified
-against the smallest, those that fail against the next, until none is left.
+that stays hot after that is dealt out in blocks: every two blocks meet, and all
+pairs across them that have enough symbols in common are verified, unless links
+found before already connect them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from .classes import fingerprints, verified
 SEGMENTS, SYMBOLS = 7, 4
 #: Texts under one variant that are paired directly.
 MOST = 48
-
+#: Texts in one block of a fuller variant.
+BLOCK = 1024
 
 #: Symbols of 28 that two texts must have in common to be verified.  At a similarity
 #: of 0.70 the number is 19.6 on average and below this once in 5,000 pairs.
@@ -102,18 +104,51 @@ def _pairs_under(postings: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataF
     return pairs, join_unique(postings, crowded.select("v"), ["v"], counts=crowded)
 
 
-def _leaders(hot: DataFrame, texts: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """Links found by verifying every text of a hot variant against leaders."""
-    links = None
-    rest = hot
-    while True:
-        leader = rest.groupBy("v").agg(F.min("id").alias("a"))
-        todo = cut(join_unique(rest, leader, ["v"]).where("id <> a").select("v", "a", F.col("id").alias("b")), "leaders")
-        if not todo.limit(1).count():
-            return links
-        good = cut(verified(todo.select("a", "b").distinct(), texts, key, text, "jaccard", least), "links")
-        links = good if links is None else links.unionByName(good)
-        rest = cut(todo.join(good, ["a", "b"], "left_anti").select("v", F.col("b").alias("id")), "rest")
+def _block_pairs(hot: DataFrame, reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Pairs of texts (a, b) under a hot variant (v, id) that have enough symbols in common.
+
+    A variant's texts are dealt out in blocks of some ``BLOCK``, and every two of
+    its blocks meet in one group, so no group grows with the variant.  Without
+    ``labels`` only each text's best partner in a group is given; with them
+    (node, component) all pairs that are not in one component.
+    """
+    sizes = cut(hot.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    marks = reps.select("id", *WORDS)
+    marks = marks.withColumn("of", F.col("id")) if labels is None else marks.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", *WORDS, F.coalesce("component", "id").alias("of"))
+    dealt = join_unique(hot.select("v", "id"), sizes.select("v", F.ceil(F.col("n") / BLOCK).alias("parts")), ["v"], counts=sizes)
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("id"), "parts")).join(marks, "id")
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q"))
+    best = labels is None
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, part, of = (group.column(c).to_numpy() for c in ("id", "p", "of"))
+        low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        symbols = np.stack([group.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint8)[:, : SEGMENTS * SYMBOLS].T.copy()
+        x, y = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        same = np.zeros((len(x), len(y)), np.uint8)
+        for row in symbols:
+            same += row[x][:, None] == row[y][None, :]
+        same[(same < AGREE) | (of[x][:, None] == of[y][None, :])] = 0
+        if best and same.size:
+            kept = np.zeros_like(same)
+            at = same.argmax(0), np.arange(len(y))
+            kept[at] = same[at]
+            at = np.arange(len(x)), same.argmax(1)
+            kept[at] = same[at]
+            same = kept
+        a, b = np.nonzero(same)
+        a, b = ids[x[a]], ids[y[b]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.select("v", "i", "j", "p", "id", "of", *WORDS).groupBy("v", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _linked_in_blocks(hot: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """``found`` and what else connects the texts of hot variants: best partners first, then every pair that those leave apart."""
+    found = cut(found, "links")
+    found = cut(found.unionByName(verified(_block_pairs(hot, reps).join(found, ["a", "b"], "left_anti"), texts, key, text, "jaccard", least)), "links")
+    labels = cut(connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    return found.unionByName(verified(_block_pairs(hot, reps, labels), texts, key, text, "jaccard", least))
 
 
 def links(df: DataFrame, key: str, text: str, least: float = 0.70) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +156,8 @@ def links(df: DataFrame, key: str, text: str, least: float = 0.70) -> tuple[Data
 
     A class is all rows with the same text in regular form without blanks, its
     representative the smallest key.  Null, blank and texts of fewer than five
-    characters belong to no class.  Links are (a, b, score) with a < b.
+    characters belong to no class.  Links are (a, b, score) with a < b; between
+    texts of hot variants there are as many as connect what belongs together.
     """
     marks = cut(fingerprints(df, key, text, "sig array<int>, " + ", ".join(f"{w} bigint" for w in WORDS), _signature), "signatures")
     classes = cut(marks.groupBy("ka", "kb").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -137,9 +173,7 @@ def links(df: DataFrame, key: str, text: str, least: float = 0.70) -> tuple[Data
     lean = df.select(key, text)
     found = verified(pairs, lean, key, text, "jaccard", least)
     if still is not None:
-        extra = _leaders(cut(still.select("v", "id"), "still"), lean, key, text, least)
-        if extra is not None:
-            found = found.unionByName(extra).dropDuplicates(["a", "b"])
+        found = _linked_in_blocks(cut(still.select("v", "id"), "still"), found, reps, lean, key, text, least)
     members = join_unique(marks.select(key, "ka", "kb"), classes, ["ka", "kb"], counts=classes.withColumnRenamed("copies", "n")).select(key, "rep", "copies")
     return members, found
 

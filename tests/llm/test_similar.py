@@ -103,6 +103,26 @@ def test_crowded_variants(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_star_in_a_crowded_variant(spark, monkeypatch):
+    # Versions that are linked to the hub alone, whose key is in the middle: a text that matched a leader must still meet the others.
+    monkeypatch.setattr(neardup, "MOST", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 25, raising=False)
+    rng = random.Random(11)
+    hub = "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(400))
+
+    def version():
+        x = list(hub)
+        for i in rng.sample(range(len(x)), 12):
+            x[i] = chr(rng.randrange(0x5E00, 0x6E00))
+        return "".join(x)
+
+    rows = [(i, hub if i == 80 else version(), "train", "d", "s", "", "", 0) for i in range(160)]
+    want = brute_groups(rows)
+    assert len(want) > 150
+    got = {r.ref_no: r.group_no for r in neardup.groups(spark.createDataFrame(rows, SCHEMA), "ref_no", "facts").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [0, 3])
 def test_nothing_to_link(spark, n):
     df = spark.createDataFrame(ROWS[:0] if n == 0 else [(1, None, "train", "d", "s", "", "", 0), (2, "x", "dev", "d", "s", "", "", 0), (3, "ganz anderer Text", None, "d", "s", "", "", 0)], SCHEMA)
