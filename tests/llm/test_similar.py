@@ -141,6 +141,25 @@ def test_hot_blocks_are_made_longer(spark, monkeypatch):
     assert got == {(1, 100)}
 
 
+def brute_overlaps(rows, least=0.85):
+    sets = {r[0]: runs(r[1]) for r in rows}
+    train, held = [r[0] for r in rows if r[2] == "train"], [r[0] for r in rows if r[2] in ("dev", "test")]
+    return {(min(a, b), max(a, b)) for a in held for b in train if len(sets[a] & sets[b]) >= least * min(len(sets[a]), len(sets[b])) - 1e-9}
+
+
+def test_hot_blocks_stay_whole(spark, monkeypatch):
+    # All blocks hot, and edits between their passages: nothing that follows a passage is the same.
+    monkeypatch.setattr(overlap, "MOST", 3)
+    monkeypatch.setattr(overlap, "SIDE", 5, raising=False)
+    rng = random.Random(21)
+    base = "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(400))
+    rows = [(i, edit(rng, base, 5), "train" if i % 2 else "dev", "d", "s", "", "", 0) for i in range(40)]
+    want = brute_overlaps(rows)
+    assert len(want) > 200
+    got = {tuple(r) for r in overlap.overlapping_pairs(spark.createDataFrame(rows, SCHEMA), "ref_no", "facts", "split").collect()}
+    assert got == want
+
+
 def test_run_hashes_and_passages():
     cp, off = C.from_arrow(pa.array(["abcdefg", "", "abcd", "xabcdefg"], pa.string()))
     h, ho = S.runs(cp, off, 5)
