@@ -160,6 +160,22 @@ def test_hot_blocks_stay_whole(spark, monkeypatch):
     assert got == want
 
 
+def test_evenly_spread_edits(spark):
+    # One character in 34 changed: hardly a passage stays whole, though 0.85 of the runs do.
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        base = [chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(800)]
+        rows.append((2 * i, "".join(base), "train", "d", "s", "", "", 0))
+        for at in range(17, 800, 34):
+            base[at] = chr(rng.randrange(0x5E00, 0x6E00))
+        rows.append((2 * i + 1, "".join(base), "test", "d", "s", "", "", 0))
+    want = brute_overlaps(rows)
+    assert len(want) == 30
+    got = {tuple(r) for r in overlap.overlapping_pairs(spark.createDataFrame(rows, SCHEMA), "ref_no", "facts", "split").collect()}
+    assert got <= want and len(got) >= 28, len(got)
+
+
 def test_run_hashes_and_passages():
     cp, off = C.from_arrow(pa.array(["abcdefg", "", "abcd", "xabcdefg"], pa.string()))
     h, ho = S.runs(cp, off, 5)
