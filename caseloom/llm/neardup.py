@@ -14,10 +14,9 @@ probability 0.0007, one at 0.80 with 0.000003.
 Scale: copies are collapsed first and stand as one text.  Variants are counted
 before any pairing (map-side combined), only those that hold two texts or more
 are joined, and only variants of up to ``MOST`` texts give pairs.  A variant
-held by more texts is refined by the variants of the segments after its own, and one
-that stays hot after that is dealt out in blocks: every two blocks meet, and all
-pairs across them that have enough symbols in common are verified, unless links
-found before already connect them.
+held by more texts is dealt out in blocks: every two blocks meet, and all pairs
+across them that have enough symbols in common are verified, unless links found
+before already connect them.  So the same pairs are compared at every size.
 """
 
 from __future__ import annotations
@@ -81,8 +80,8 @@ MOST_BROADCAST = 200_000
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(id, v, s): each text under its variants, with the segment each leaves a symbol out of."""
-    return reps.select("id", F.posexplode(_variants()).alias("at", "v")).select("id", "v", F.floor(F.col("at") / SYMBOLS).cast("int").alias("s"))
+    """(id, v): each text under its variants."""
+    return reps.select("id", F.explode(_variants()).alias("v"))
 
 
 def _pairs_under(postings: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -163,17 +162,10 @@ def links(df: DataFrame, key: str, text: str, least: float = 0.70) -> tuple[Data
     classes = cut(marks.groupBy("ka", "kb").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = cut(marks.join(classes.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("id"), "sig", *WORDS), "texts")
     pairs, hot = _pairs_under(_postings(reps), reps)
-    still = None
-    if hot is not None:
-        finer = cut(hot.select("id", "v", "s"), "hot").join(reps.select("id", "sig"), "id").select("id", F.col("v").alias("hv"), F.col("s").alias("hs"), F.posexplode(_variants()).alias("at", "w"))
-        finer = finer.withColumn("s", F.floor(F.col("at") / SYMBOLS).cast("int")).where("hs < s").select("id", F.xxhash64("hv", "w").alias("v"), "s")
-        more, still = _pairs_under(finer, reps)
-        pairs = pairs.unionByName(more)
-    pairs = pairs.distinct()
     lean = df.select(key, text)
-    found = verified(pairs, lean, key, text, "jaccard", least)
-    if still is not None:
-        found = _linked_in_blocks(cut(still.select("v", "id"), "still"), found, reps, lean, key, text, least)
+    found = verified(pairs.distinct(), lean, key, text, "jaccard", least)
+    if hot is not None:
+        found = _linked_in_blocks(cut(hot.select("v", "id"), "hot"), found, reps, lean, key, text, least)
     members = join_unique(marks.select(key, "ka", "kb"), classes, ["ka", "kb"], counts=classes.withColumnRenamed("copies", "n")).select(key, "rep", "copies")
     return members, found
 

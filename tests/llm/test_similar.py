@@ -123,6 +123,34 @@ def test_star_in_a_crowded_variant(spark, monkeypatch):
     assert got == want
 
 
+def test_hot_variants_of_one_segment(spark, monkeypatch):
+    # Texts that share hot variants of a single segment are compared all the same.
+    monkeypatch.setattr(neardup, "MOST", 3)
+    rng = random.Random(4)
+    hub = [chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(400)]
+
+    def signature(x):
+        cp, off = C.from_arrow(pa.array(["".join(x)], pa.string()))
+        return S.minhash(*S.runs(cp, off, 5), 28)[0].reshape(7, 4)
+
+    h, ho = S.runs(*(np.array([ord(c) for c in hub], np.uint32), np.array([0, 400])), 5)
+    least = [int(np.flatnonzero(S.minhash(h, np.arange(len(h) + 1), 28)[:, j] == S.minhash(h, ho, 28)[0, j])[0]) for j in range(4)]
+    free = [i for i in range(400) if not any(at <= i < at + 5 for at in least)]
+    of_hub, texts = signature(hub), []
+    while len(texts) < 5:
+        x = list(hub)
+        for i in rng.sample(free, 12):
+            x[i] = chr(rng.randrange(0x5E00, 0x6E00))
+        same = (signature(x) == of_hub).sum(1)
+        if same[0] == 4 and (same[1:] < 3).all() and len(runs("".join(x)) & runs("".join(hub))) >= 0.7 * len(runs("".join(x)) | runs("".join(hub))):
+            texts.append(x)
+    rows = [(i, "".join(x), "train", "d", "s", "", "", 0) for i, x in enumerate([hub, *texts])]
+    want = brute_groups(rows)
+    assert len(want) == 6
+    got = {r.ref_no: r.group_no for r in neardup.groups(spark.createDataFrame(rows, SCHEMA), "ref_no", "facts").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [0, 3])
 def test_nothing_to_link(spark, n):
     df = spark.createDataFrame(ROWS[:0] if n == 0 else [(1, None, "train", "d", "s", "", "", 0), (2, "x", "dev", "d", "s", "", "", 0), (3, "ganz anderer Text", None, "d", "s", "", "", 0)], SCHEMA)
