@@ -12,12 +12,14 @@ import pyarrow.compute as pc
 SLICE_BYTES = 3_000_000
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch as slices of at most ``most`` bytes of the column, at least one row each."""
+def slices(batch: pa.RecordBatch, columns: str | list[str], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch as slices of at most ``most`` bytes of the columns together, at least one row each."""
     n = batch.num_rows
     if n == 0:
         return
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.zeros(n, np.int64)
+    for column in [columns] if isinstance(columns, str) else columns:
+        size += pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     before = np.concatenate(([0], np.cumsum(size)))
     low = 0
     while low < n:

@@ -83,7 +83,7 @@ def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, measure: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ta", 1_000_000):
+            for batch in slices(whole, ["ta", "tb"], 2_000_000):
                 sets = []
                 for name in ("ta", "tb"):
                     _, _, h, ho = run_hashes(batch.column(name))

@@ -33,7 +33,7 @@ def regular_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, columns[0]):
+            for batch in slices(whole, columns):
                 out = []
                 for name in names:
                     column = batch.column(name)
@@ -58,7 +58,7 @@ def irregular_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, columns[0]):
+            for batch in slices(whole, columns):
                 for name in columns:
                     cp, off = C.from_arrow(batch.column(name))
                     _, _, changed = R.regular(cp, off)

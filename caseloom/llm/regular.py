@@ -269,7 +269,12 @@ def _alphabets(t: _Tables, cp: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _kana(t: _Tables, cp: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Kana among ideographs and the reverse."""
+    """Kana among ideographs and the reverse.
+
+    A kana that looks like an ideograph becomes one only where it stands alone:
+    with another kana beside it, it is a word of its own script (a name such as
+    トニ or ハタ), whatever else the row holds.
+    """
     twin = (t.kana_han[cp] > 0) | (t.han_kana[cp] > 0) | (t.hira_kata[cp] > 0) | (t.kata_hira[cp] > 0)
     if not twin.any():
         return cp
@@ -287,7 +292,7 @@ def _kana(t: _Tables, cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     near_kata = (before == KATAKANA) | (after == KATAKANA)
     near_han = (before == HAN) | (after == HAN)
     cp = cp.copy()
-    to_han = (t.kana_han[cp] > 0) & np.where(sure[row], near_han & ~near_kata & ~((cp == 0x30FC) & (before == HIRAGANA)), han[row])
+    to_han = (t.kana_han[cp] > 0) & ~near_kata & np.where(sure[row], near_han & ~((cp == 0x30FC) & (before == HIRAGANA)), han[row])
     to_kata = (t.han_kana[cp] > 0) & (before == KATAKANA) & (after == KATAKANA) & sure[row]
     katakana = (t.hira_kata[cp] > 0) & (before == KATAKANA) & (after == KATAKANA)
     hiragana = (t.kata_hira[cp] > 0) & (before == HIRAGANA) & (after == HIRAGANA)

@@ -42,7 +42,7 @@ def test_composition_is_nfc(texts):
     [
         ("Ｌenmor １２", "Lenmor 12"), ("oﬀ", "off"), ("⼯地", "工地"), ("金", "金"), ("ﾀｲﾔ ｶﾞ", "タイヤ ガ"),
         ("é", "é"), ("が", "が"), ("a​b­c﻿", "abc"), ("a b　c d", "a b c d"), ("Tonrіm", "Tonrim"), ("GΒМ", "GBM"),
-        ("Грaч", "Грач"), ("船エ赵", "船工赵"), ("路ロ的", "路口的"), ("ニ、证", "二、证"),
+        ("Грaч", "Грач"), ("船エ赵", "船工赵"), ("路ロ的", "路口的"), ("ニ、证", "二、证"), ("第ニ、三项", "第二、三项"),
         ("เเป", "แป"), ("Talpе́rin", "Talpérin"),
     ],
 )
@@ -51,7 +51,7 @@ def test_regular_forms(bad, good):
     assert out == [good] and changed == [True]
 
 
-@pytest.mark.parametrize("text", ["", "   ", "（甲），：！？；", "№ 7 ℃ §", "a  b ", "a\nb\r\n", "Дом house", "РСТ-1", "菱本ニカハ、タイヤ46個", "น้ำ", "菱崎ナミは", "バッテリー"])
+@pytest.mark.parametrize("text", ["", "   ", "（甲），：！？；", "№ 7 ℃ §", "a  b ", "a\nb\r\n", "Дом house", "РСТ-1", "菱本ニカハ、タイヤ46個", "น้ำ", "菱崎ナミは", "バッテリー", "梶谷トニ", "榊原ハタ", "鷹尾ニカ", "被告人梶谷トニ、榊原ハタ"])
 def test_regular_already(text):
     assert form(text) == ([text], [False])
 
