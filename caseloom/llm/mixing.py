@@ -19,13 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _chance(rate: float, k: int) -> float:
+    """Probability of k, by logarithms so that great rates and caps neither vanish nor overflow."""
+    return math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
+
+
 def _cut_mean(rate: float, cap: int) -> float:
     """Mean of a Poisson count cut at cap."""
-    p, total, below = math.exp(-rate), 0.0, 0.0
+    total, below = 0.0, 0.0
     for k in range(cap):
+        p = _chance(rate, k)
         total += k * p
         below += p
-        p *= rate / (k + 1)
     return total + cap * max(0.0, 1 - below)
 
 
@@ -34,7 +39,7 @@ def rate_for(mean: float, cap: int) -> float | None:
     if mean >= cap:
         return None
     low, high = 0.0, 1.0
-    while _cut_mean(high, cap) < mean and high < 700:
+    while _cut_mean(high, cap) < mean:
         high *= 2
     for _ in range(80):
         middle = (low + high) / 2
@@ -47,11 +52,10 @@ def thresholds(mean: float, cap: int) -> list[float]:
     rate = rate_for(mean, cap)
     if rate is None:
         return [-1.0] * cap
-    out, p, below = [], math.exp(-rate), 0.0
+    out, below = [], 0.0
     for k in range(cap):
-        below += p
+        below += _chance(rate, k)
         out.append(below)
-        p *= rate / (k + 1)
     return out
 
 
@@ -103,5 +107,16 @@ def reached_shares(mixture: DataFrame, plan: DataFrame) -> DataFrame:
     whole = got.agg(F.sum("mixed_tokens").alias("__all"))
     return plan.join(got, "source", "left").crossJoin(F.broadcast(whole)).select(
         "source", "target_share", "max_repeats", "tokens", "wanted", "short", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
-        (F.coalesce("mixed_tokens", F.lit(0)) / F.col("__all")).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        F.try_divide(F.coalesce("mixed_tokens", F.lit(0)), "__all").alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
+
+
+def short_sources(mixture: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source) of the target sources that fall short in the mixture itself although nothing of them is left to add.
+
+    A source is used up if the mixture holds max_repeats times its tokens; one
+    that is used up and still lacks tokens can't reach its share.  A source
+    that chance left below its share has documents to spare and isn't short.
+    """
+    used_up = F.col("mixed_tokens") >= F.col("tokens") * F.col("max_repeats")
+    return reached_shares(mixture, plan).where(used_up & (F.col("mixed_tokens") < F.col("wanted"))).select("source")

@@ -59,8 +59,17 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return sampling.candidates(rows, targets, "id", "charge", "ref_no"), targets
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the drawn and corrected sample, wanted rows of each charge)."""
+    found, targets = _candidates(spark, sf_dir)
+    found = cut(found, "candidates")
+    wanted = cut(sampling.quotas(found, targets), "quotas")
+    return sampling.proportional_sample(found, wanted, "ref_no"), wanted
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.short_categories(*_candidates(spark, sf_dir))
+    found, wanted = _drawn(spark, sf_dir)
+    return sampling.short_categories(found, wanted)
 
 
 def p5_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +79,12 @@ def p5_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample: as many rows of each charge as wanted, or all where they don't suffice."""
-    found, targets = _candidates(spark, sf_dir)
-    found = cut(found, "candidates")
-    return sampling.proportional_sample(found, sampling.quotas(found, targets), "ref_no").select("ref_no", "id", F.col("category").alias("charge"))
+    return _drawn(spark, sf_dir)[0].select("ref_no", "id", F.col("category").alias("charge"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted, drawn and missing rows of each listed charge in p5_sample."""
+    return sampling.sample_report(*_drawn(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +116,8 @@ def _mixture_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture_plan(spark, sf_dir)[1].where("short").select("source")
+    counted, plan = _mixture_plan(spark, sf_dir)
+    return mixing.short_sources(mixing.replicate(counted, plan, "doc_id"), plan)
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,11 +58,6 @@ def quotas(found: DataFrame, targets: DataFrame, fraction: float = 0.1) -> DataF
     )
 
 
-def short_categories(found: DataFrame, targets: DataFrame, fraction: float = 0.1) -> DataFrame:
-    """(charge) of the categories with fewer rows than wanted."""
-    return quotas(found, targets, fraction).where("deficit > 0").select("charge")
-
-
 def proportional_sample(found: DataFrame, wanted: DataFrame, key: str, seed: int = 42, extra: float = 4.0) -> DataFrame:
     """Exactly min(wanted, n_rows) rows of each category.
 
@@ -92,3 +87,23 @@ def proportional_sample(found: DataFrame, wanted: DataFrame, key: str, seed: int
     rank = F.row_number().over(Window.partitionBy("category").orderBy("__at", key))
     edge = placed.where("__bin = __edge").withColumn("__rank", rank).where("__rank <= __take").drop("__rank")
     return placed.where("__bin < __edge").unionByName(edge).drop("__wanted", "__rate", "__at", "__bin", "__edge", "__take")
+
+
+def sample_report(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(charge, target_share, min_rows, n_rows, wanted, n_drawn, reached_share, deficit) of a drawn sample.
+
+    ``drawn`` is what ``proportional_sample`` gives for ``wanted``.  The deficit
+    is what the sample lacks after its correction, not what a count foretells;
+    the list of categories is fixed and small.
+    """
+    n = drawn.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    got = F.coalesce("n", F.lit(0))
+    return wanted.drop("deficit").join(n, F.col("charge") == F.col("category"), "left").crossJoin(F.broadcast(total)).select(
+        "charge", "target_share", "min_rows", "n_rows", "wanted", got.alias("n_drawn"), F.try_divide(got, "total").alias("reached_share"), F.greatest(F.col("wanted") - got, F.lit(0)).alias("deficit")
+    )
+
+
+def short_categories(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(charge) of the categories of which the drawn sample holds fewer rows than wanted."""
+    return sample_report(drawn, wanted).where("deficit > 0").select("charge")

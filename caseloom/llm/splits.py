@@ -1,8 +1,10 @@
 """Problem 4: splits in given shares that keep all records of an entity together.
 
 Method: connected components over records that share any entity (alternating
-large-star and small-star, in the core), then each component's hash falls into
-one of consecutive ranges as wide as the shares.
+large-star and small-star steps over record-entity edges, in the core), then
+each component's hash falls into one of consecutive ranges as wide as the
+shares.  Rows whose components straddle today's splits come from the same
+components.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.operators.components import entity_components
+from caseloom.operators.components import record_components
+from caseloom.session import cut, join_unique
 
 
 def source_entity(dataset: str = "dataset", source_id: str = "source_id") -> Column:
@@ -41,7 +44,7 @@ def assign_splits(df: DataFrame, key: str, entities: list[Column | str], targets
         pick = F.when(point < reached, name) if pick is None else pick.when(point < reached, name)
     last = F.lit(shares[-1][0])
     split = last if pick is None else pick.otherwise(last)
-    return entity_components(df, key, entities).withColumn("new_split", split)
+    return record_components(df, key, entities).withColumn("new_split", split)
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
@@ -64,8 +67,6 @@ def straddling_rows(df: DataFrame, key: str, entities: list[Column | str], split
         there = F.col(e).isNotNull() if isinstance(e, str) else e.isNotNull()
         some = there if some is None else some | there
     rows = df.where(F.col(split).isNotNull() & some)
-    parts = entity_components(rows, key, entities, [split])
+    parts = cut(record_components(rows, key, entities, [split]), "parts")
     mixed = parts.groupBy("component").agg(F.min(split).alias("low"), F.max(split).alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    from caseloom.session import join_unique
-
     return join_unique(parts, mixed.select("component"), ["component"], counts=mixed).select(key)

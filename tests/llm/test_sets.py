@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.llm import leakage, mixing, pieces, sampling, splits, tokens
+from caseloom.operators import components
 
 
-def test_splits(spark):
+def test_splits(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, "D", f"./S{rng.randrange(40)} " if i % 3 else f"s{rng.randrange(40)}", f"id{i // 2}", rng.choice(["train", "dev", None])) for i in range(400)] + [(1000, None, None, None, "dev"), (1001, "d", None, None, "train")]
     df = spark.createDataFrame(rows, "ref_no bigint, dataset string, source_id string, id string, split string").repartition(6)
@@ -25,7 +26,10 @@ def test_splits(spark):
                 seen[field(r)].add((by[r[0]].component, by[r[0]].new_split))
         assert all(len(x) == 1 for x in seen.values())
     assert by[1000].component != by[1001].component
+    rounds = []
+    monkeypatch.setattr(components, "_large_star", lambda edges, n, f=components._large_star: rounds.append(n) or f(edges, n))
     mixed = {tuple(r)[0] for r in splits.straddling_rows(df, "ref_no", [splits.source_entity()], "split").collect()}
+    assert rounds  # through the star steps, though one entity alone would do with a group by
     parts = collections.defaultdict(set)
     for r in rows:
         if form(r) and r[4]:
@@ -54,8 +58,13 @@ def test_sample(spark):
     quota = {r.charge: r for r in sampling.quotas(found, targets).collect()}
     n = sum(r.n_rows for r in quota.values())
     assert n == found.count() and quota["甲罪"].wanted == -(-int(0.1 * n) // 2) and quota["丁罪"].deficit == 2
-    assert {r.charge for r in sampling.short_categories(found, targets).collect()} == {c for c, r in quota.items() if r.n_rows < r.wanted}
     plan = sampling.quotas(found, targets)
+    drawn = sampling.proportional_sample(found, plan, "ref_no")
+    assert {r.charge for r in sampling.short_categories(drawn, plan).collect()} == {c for c, r in quota.items() if r.n_rows < r.wanted}
+    # The deficits are those of the sample, not of the counts: with a category taken out of the sample it is short.
+    assert {r.charge for r in sampling.short_categories(drawn.where("category <> '甲罪'"), plan).collect()} >= {"甲罪"}
+    report = {r.charge: r for r in sampling.sample_report(drawn, plan).collect()}
+    assert all(report[c].n_drawn == min(q.wanted, q.n_rows) and report[c].deficit == q.deficit for c, q in quota.items())
     for extra in (4.0, -1e9):  # with hopeless oversampling the whole category is taken into the correction
         got = collections.Counter(r.category for r in sampling.proportional_sample(found, plan, "ref_no", extra=extra if extra > 0 else 4.0).collect())
         assert got == {c: min(r.wanted, r.n_rows) for c, r in quota.items() if min(r.wanted, r.n_rows)}
@@ -119,12 +128,15 @@ def test_mixture(spark):
     for s in ("big", "mid"):
         assert abs(shares[s].mixed_tokens - got[s].wanted) < 0.06 * got[s].wanted
     assert all(shares[s].most_copies <= got[s].max_repeats for s in shares) and shares["small"].mixed_tokens == 4 * 500 and shares["none"].n_rows == 0
+    assert {r.source for r in mixing.short_sources(mix, plan).collect()} == {"small", "none"}
+    # Read off the mixture itself: with a copy of "small" left out it isn't used up.
+    assert {r.source for r in mixing.short_sources(mix.where("doc_id <> 10000 OR copy < 4"), plan).collect()} == {"none"}
     keys = [tuple(r) for r in mixing.shuffled(mix, "doc_id").select("doc_id", "copy").collect()]
     assert len(set(keys)) == len(keys) and keys != sorted(keys)
     assert mixing.source_plan(counted.limit(0), targets).count() == 4
 
 
-@pytest.mark.parametrize("mean, cap", [(0.1, 1), (0.9, 1), (1.3, 2), (2.9, 3), (5.0, 6)])
+@pytest.mark.parametrize("mean, cap", [(0.1, 1), (0.9, 1), (1.3, 2), (2.9, 3), (5.0, 6), (900.0, 1000)])
 def test_cut_poisson_keeps_its_mean(mean, cap):
     steps = mixing.thresholds(mean, cap)
     assert len(steps) == cap and abs(sum(max(0.0, 1 - x) for x in steps) - mean) < 1e-6
