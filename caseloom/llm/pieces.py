@@ -185,7 +185,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1500, overl
     if overlap < 0 or overlap * 2 > limit:
         raise ValueError("the overlap may be at most half the limit")
     path = K.path_of(tokenizer)
-    model = model or S.Model()
+    model = model or S.listed_model()
     kind = df.schema[key].dataType.simpleString()
     names = [key, "piece_no", "start_pos", "end_pos", "n_tokens", "overlap_chars", "cut_at", "piece"]
 

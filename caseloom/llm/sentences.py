@@ -4,17 +4,26 @@ Method: a linear-chain model tags every candidate character as boundary or
 inside and Viterbi decoding picks the best tagging of the whole text.
 Candidates are the closing marks, points, closing quotes, line breaks and, in
 Thai, blanks; all other characters can only be inside and need no step.
-Emissions are log odds from the candidate's context (fixed priors for the
-context classes below, plus what training adds); transitions forbid a boundary
-without ink since the last one, so that of a run of marks the last one closes
-the unit.
-
-Training (``train``) takes a bounded sample of texts.  For scripts with marks
-it learns abbreviations: words whose point is followed by a small letter, digit
-or comma far more often than by an end of line.  For Thai, which has none, it
-is trained on text stripped of its marks and line breaks: the characters on
-both sides of stripped line ends against those around blanks that part numbers,
-Latin words and the two names of a person.
+A candidate's emission is the sum of learned weights of its features (context
+class, neighbours, the word before it and the one behind it, for Thai the
+characters and the length of the chunk before the blank); learned 2x2
+transitions join neighbouring candidates, and a boundary without ink since the
+last one is forbidden, so that of a run of marks the last one closes the unit.
+Word lists only choose the context class, whose weight is learned like any
+other; an untrained model knows nothing but the sign that class suggests
+(``HINT``).  Fixed are the definitions: line breaks end units, marks inside
+brackets and quotation marks don't.
+
+Training (``train``) needs no tagged text.  It takes a bounded sample and
+strips its line breaks: a place where a line ended is known to be a boundary,
+any other boundary lost no break, so a candidate keeps its line end with
+probability ``c x P(boundary)``, where c is measured on closing marks that
+always end a unit.  Points before a small letter, comma or digit are known to
+be inside.  Weights maximise that likelihood under a Gaussian prior; a word
+that stands before a point time and again but never at a line end thereby
+becomes an abbreviation, and Thai, which has no marks at all, is trained on
+nothing but stripped line ends.  Transitions are what the line ends behind
+either tag of the candidate before add to that.
 
 Everything runs on code-point arrays of many texts at once; the decoder steps
 through the candidates of all texts side by side.  Invisible characters are
@@ -38,6 +47,7 @@ from . import codepoints as C
 from .batches import slices
 from . import regular as R
 from .regular import INVISIBLE
+from .shingles import mix
 
 # ---- fixed values -----------------------------------------------------------
 #: Abbreviations that stand before what they belong to and close no unit.
@@ -63,12 +73,15 @@ COMMAS, COLONS, DASHES = ",，、،", ":：", "-–—―"
 #: Particles and conjunctions with which a sentence goes on behind a quotation (Japanese, Chinese).
 PARTICLES = "とってのはがをにも的"
 LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
-#: Prior probability that a candidate of a context class closes a unit.
-PRIOR = {"mark": 0.999, "point": 0.97, "number": 0.001, "leading": 0.01, "trailing_new": 0.97, "trailing": 0.005, "small": 0.02, "ordinal": 0.01, "quote": 0.98, "quote_on": 0.005, "blank": 0.95, "blank_joined": 0.005, "break": 0.9999}
+#: Context classes of candidates, and what each suggests before any training: a closing sign closes unless the text
+#: visibly goes on behind it.  Listed words, ordinals and what Thai blanks touch suggest nothing; their weights are learned.
+HINT = {"mark": 1, "point": 1, "number": -1, "leading": 1, "trailing_new": 1, "trailing": -1, "small": -1, "ordinal": 1, "quote": 1, "quote_on": -1, "blank": 1, "blank_joined": 1, "break": 1}
+#: Classes that are known to be inside.
+KNOWN = ("number", "small", "trailing", "quote_on")
 # -----------------------------------------------------------------------------
 
 OTHER, BLANK, BREAK, DIGIT, UPPER, LOWER, HAN, THAI, LETTER, POINT, MARK, SEMI, OPENB, CLOSEB, OPENQ, CLOSEQ, LOWQ, LEFTQ, STRAIGHT, COMMA, COLON, DASH, HIDDEN = range(23)
-CLASSES = list(PRIOR)
+CLASSES = list(HINT)
 
 
 @lru_cache(maxsize=1)
@@ -139,13 +152,33 @@ def _is_in(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == h
 
 
+#: Features of a candidate, weights in all, and how many of them are the classes' own.
+COLUMNS, BUCKETS, OWN = 6, 1 << 16, 32
+#: Weight of a line break, which always ends a unit.
+SURE = 12.0
+
+
+def _hints() -> np.ndarray:
+    w = np.zeros(BUCKETS, np.float32)
+    w[: len(CLASSES)] = list(HINT.values())
+    w[CLASSES.index("break")] = SURE
+    return w
+
+
 @dataclass
 class Model:
-    """What training adds to the priors."""
+    """Weights of hashed features (log odds of a boundary) and of transitions (from inside or boundary, to inside or boundary)."""
+
+    weights: np.ndarray = field(default_factory=_hints)
+    moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+
 
-    abbreviations: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    thai_before: dict[int, float] = field(default_factory=dict)
-    thai_after: dict[int, float] = field(default_factory=dict)
+def _bucket(column: int, *values: np.ndarray) -> np.ndarray:
+    """Feature numbers of combined values."""
+    h = np.full(len(values[0]), column + 1, np.uint64)
+    for v in values:
+        h = mix(h * _BASE + v.astype(np.uint64))
+    return (np.uint64(OWN) + h % np.uint64(BUCKETS - OWN)).astype(np.int32)
 
 
 class _Text:
@@ -285,15 +318,14 @@ def _inside(t: _Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return inside, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
-def _points(t: _Text, at: np.ndarray, model: Model) -> np.ndarray:
-    """Context class of each point."""
+def _points(t: _Text, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context class, feature numbers) of each point."""
     left, right = t.beside(at, -1), t.beside(at, 1)
     nxt = t.after(at)
     word, size = t.word_before(at)
     plain, plain_size = t.word_before(at, dotted=False)
     leading = (_is_in(word, _hashes(LEADING)) | _is_in(plain, _hashes(LEADING))) & (size > 0)
     trailing = _is_in(word, _hashes(TRAILING)) | _is_in(plain, _hashes(TRAILING))
-    learned = (_is_in(word, model.abbreviations) | _is_in(plain, model.abbreviations)) & ~leading
     # A lone capital is an initial (J. R. Smith); letter.letter is an acronym.
     initial = (plain_size == 1) & (left == UPPER) & (nxt == UPPER)
     small = nxt == LOWER
@@ -306,7 +338,8 @@ def _points(t: _Text, at: np.ndarray, model: Model) -> np.ndarray:
     d2 = t.beside(at, -2)
     d3 = t.beside(at, -3)
     short = number & ((d2 == BLANK) | ((d2 == DIGIT) & (d3 == BLANK)) | (d2 == BREAK) | ((d2 == DIGIT) & (d3 == BREAK)))
-    month = _is_in(t.word_after(t.after_at(at)), _hashes(MONTHS))
+    behind = t.word_after(t.after_at(at))
+    month = _is_in(behind, _hashes(MONTHS))
     start = at - np.where(d2 == DIGIT, 2, 1)
     gap = t.before_at(np.maximum(start, 0)) + 1
     called = np.zeros(len(at), bool)
@@ -315,7 +348,6 @@ def _points(t: _Text, at: np.ndarray, model: Model) -> np.ndarray:
         h, _ = t.word_before(np.minimum(gap[pick], len(t.cp) - 1), dotted=False)
         called[pick] = _is_in(h, _hashes(BEFORE_ORDINAL))
     ordinal = short & (nxt == UPPER) & (month | called)
-    trailing |= learned
     out[small] = index("small")
     out[on & ~small] = index("trailing")
     out[trailing & ~small] = index("trailing_new")
@@ -328,7 +360,12 @@ def _points(t: _Text, at: np.ndarray, model: Model) -> np.ndarray:
     out[(left == POINT) & (right == POINT)] = index("small")
     out[ends] = index("mark")
     out[(t.kind[at - 1] == BLANK) & (right == DIGIT) & (at > 0)] = index("number")
-    return out
+    long = np.minimum(size, 6)
+    none = size == 0
+    features = np.stack((out.astype(np.int32), _bucket(1, np.full(len(at), POINT), left, nxt), _bucket(2, word), _bucket(3, word, nxt), _bucket(4, behind), _bucket(5, long, left, nxt)), axis=1)
+    features[none, 2:4] = NOTHING
+    features[behind == 0, 4] = NOTHING
+    return out, features
 
 
 def _thai(t: _Text) -> tuple[np.ndarray, np.ndarray]:
@@ -383,15 +420,40 @@ def _thai(t: _Text) -> tuple[np.ndarray, np.ndarray]:
     return at, joined | titled
 
 
-def candidates(t: _Text, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(places, log odds of a boundary right after each) of all candidates in order."""
+#: The feature that stands for none; its weight is zero.
+NOTHING = OWN - 1
+#: Bias of the examples that show training a word alone.
+WORD_ONLY = OWN - 2
+
+
+def _blank_features(t: _Text, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Feature numbers of Thai blanks: neighbours by one and two characters, the beginning and the length of the chunk before."""
+    n = len(t.cp)
+    b, a = np.maximum(t.before_at(at), 0), np.maximum(t.after_at(at), 0)
+    low = t.off[:-1][t.row[at]]
+    gap = np.where((t.kind == BLANK) | (t.kind == BREAK), np.arange(n), -1)
+    gap = np.maximum.accumulate(gap)
+    begin = np.maximum(gap[b] + 1, low)
+    three = [t.cp[np.minimum(begin + k, n - 1)] for k in range(3)]
+    size = np.minimum(np.log2(np.maximum(b - begin + 1, 1)), 9).astype(np.int64)
+    return np.stack((cls.astype(np.int32), _bucket(6, t.kind[b], t.kind[a]), _bucket(7, t.cp[np.maximum(b - 1, 0)], t.cp[b]), _bucket(8, t.cp[a], t.cp[np.minimum(a + 1, n - 1)]), _bucket(9, *three), _bucket(10, size, t.kind[a])), axis=1)
+
+
+def candidates(t: _Text) -> tuple[np.ndarray, np.ndarray]:
+    """(places, feature numbers) of all candidates in order; the first feature is the context class."""
     index = CLASSES.index
     inside, opened, closed = _inside(t)
-    places, classes = [], []
-
-    def add(at: np.ndarray, cls) -> None:
+    places, found = [], []
+
+    def add(at: np.ndarray, cls, features: np.ndarray | None = None) -> None:
+        if features is None:
+            cls = np.broadcast_to(cls, at.shape).astype(np.int32)
+            features = np.full((len(at), COLUMNS), NOTHING, np.int32)
+            features[:, 0] = cls
+            if len(at):
+                features[:, 1] = _bucket(11, cls, t.kind[at], t.after(at))
         places.append(at)
-        classes.append(np.broadcast_to(cls, at.shape).astype(np.int64))
+        found.append(features)
 
     thai_rows = np.zeros(len(t.off) - 1, bool)
     blank_at, joined = _thai(t)
@@ -400,7 +462,7 @@ def candidates(t: _Text, model: Model) -> tuple[np.ndarray, np.ndarray]:
     add(np.flatnonzero(((t.kind == MARK) | (t.kind == SEMI)) & ~inside), index("mark"))
     points = np.flatnonzero((t.kind == POINT) & ~inside & ~thai_rows[t.row])
     if len(points):
-        add(points, _points(t, points, model))
+        add(points, *_points(t, points))
     if len(closed):
         own = np.isin(t.before(closed), (MARK, POINT))
         lead = np.isin(t.before(opened), (COLON, COMMA))
@@ -414,32 +476,31 @@ def candidates(t: _Text, model: Model) -> tuple[np.ndarray, np.ndarray]:
     if len(blank_at):
         outside = ~inside[blank_at]
         at, joined = blank_at[outside], joined[outside]
-        add(at, np.where(joined, index("blank_joined"), index("blank")))
-    place, cls = np.concatenate(places), np.concatenate(classes)
+        cls = np.where(joined, index("blank_joined"), index("blank"))
+        add(at, cls, _blank_features(t, at, cls))
+    place, features = np.concatenate(places), np.concatenate(found)
     order = np.argsort(place, kind="stable")
-    place, cls = place[order], cls[order]
-    prior = np.array(list(PRIOR.values()))
-    odds = np.log(prior / (1 - prior))[cls]
-    if model.thai_before and len(blank_at):
-        blank = np.flatnonzero(cls == index("blank"))
-        b = t.cp[np.maximum(t.before_at(place[blank]), 0)]
-        a = t.cp[np.maximum(t.after_at(place[blank]), 0)]
-        shift = np.array([model.thai_before.get(int(x), 0.0) + model.thai_after.get(int(y), 0.0) for x, y in zip(b, a)])
-        odds[blank] += np.clip(shift, -1.5, 1.5)
-    return place, odds
+    return place[order], features[order]
+
+
+def emissions(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log odds of a boundary right after each candidate."""
+    return weights[features].sum(axis=1, dtype=np.float64)
 
 
 #: Cost of each candidate passed over behind a boundary without ink, which makes the last mark of a run the boundary.
 LATE = 1e-3
 
 
-def viterbi(odds: np.ndarray, row: np.ndarray, rows: int, bare: np.ndarray) -> np.ndarray:
+def viterbi(odds: np.ndarray, row: np.ndarray, rows: int, bare: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
     """The best boundary tags of all candidates; texts are decoded side by side.
 
     States are inside, boundary and closed (a boundary lies behind, with no ink
     since).  ``bare`` marks candidates with no ink between them and the
-    candidate before: there boundary and closed lead to closed only.
+    candidate before: there boundary and closed lead to closed only.  ``moves`` are
+    the weights of going from inside or boundary to inside or boundary.
     """
+    moves = np.zeros((2, 2)) if moves is None else moves
     tags = np.zeros(len(odds), bool)
     if not len(odds):
         return tags
@@ -452,19 +513,25 @@ def viterbi(odds: np.ndarray, row: np.ndarray, rows: int, bare: np.ndarray) -> n
     live = np.searchsorted(-count[order], -np.arange(1, steps + 1), side="right")
     n = len(order)
     inside, boundary, closed = np.zeros(n), np.full(n, -np.inf), np.full(n, -np.inf)
-    came = np.zeros((steps, n), np.uint8)  # where the best way to inside and boundary comes from (0, 1, 2), plus 4 if that to closed comes from closed
+    came = np.zeros((steps, n), np.uint8)  # where the best ways to inside and boundary come from (0, 1, 2, the latter times 8), plus 4 if that to closed comes from closed
     for s in range(steps):
         m = live[s]
         at = start[order[:m]] + s
         i, b, c, tight = inside[:m], boundary[:m], closed[:m], bare[at]
         free = ~tight
-        best, source = i.copy(), np.zeros(m, np.uint8)
-        for state, score in ((1, b), (2, c)):
-            better = free & (score > best)
-            best[better], source[better] = score[better], state
+        best = []
+        source = np.zeros(m, np.uint8)
+        for to in (0, 1):
+            far = moves[1, to] if s else 0.0
+            top, way = i + (moves[0, to] if s else 0.0), np.zeros(m, np.uint8)
+            for state, score in ((1, b), (2, c)):
+                better = free & (score + far > top)
+                top[better], way[better] = score[better] + far, state
+            best.append(top)
+            source += way << (3 * to)
         shut = np.maximum(b, c) - LATE
         came[s, :m] = source + 4 * (c > b)
-        inside[:m], boundary[:m] = best + no[at], best + yes[at]
+        inside[:m], boundary[:m] = best[0] + no[at], best[1] + yes[at]
         closed[:m] = np.where(tight, shut + no[at], -np.inf)
     state = np.zeros(n, np.uint8)
     for s in range(steps - 1, -1, -1):
@@ -473,10 +540,19 @@ def viterbi(odds: np.ndarray, row: np.ndarray, rows: int, bare: np.ndarray) -> n
         state[newly] = np.argmax(np.stack((inside[newly], boundary[newly], closed[newly])), axis=0)
         now, back = state[:m], came[s, :m]
         tags[start[order[:m]] + s] = now == 1
-        state[:m] = np.where(now == 2, np.where(back >= 4, 2, 1), back & 3)
+        state[:m] = np.where(now == 2, np.where(back & 4, 2, 1), np.where(now == 1, back >> 3, back & 3))
     return tags
 
 
+def _bare(t: _Text, place: np.ndarray, ink: np.ndarray) -> np.ndarray:
+    """Whether no ink stands between each candidate and the one before."""
+    bare = np.zeros(len(place), bool)
+    if len(place) > 1:
+        inked = np.concatenate(([0], np.cumsum(ink)))
+        bare[1:] = (inked[place[1:]] == inked[place[:-1] + 1]) & (t.row[place[1:]] == t.row[place[:-1]])
+    return bare
+
+
 def units(cp: np.ndarray, off: np.ndarray, model: Model | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of every unit of a batch in order, offsets into the stored texts.
 
@@ -487,13 +563,10 @@ def units(cp: np.ndarray, off: np.ndarray, model: Model | None = None) -> tuple[
     n = len(t.cp)
     if n == 0:
         return none, none, none
-    place, odds = candidates(t, model or Model())
+    model = model or listed_model()
+    place, features = candidates(t)
     ink = (t.kind != BLANK) & (t.kind != BREAK)
-    inked = np.concatenate(([0], np.cumsum(ink)))
-    bare = np.zeros(len(place), bool)
-    if len(place) > 1:
-        bare[1:] = (inked[place[1:]] == inked[place[:-1] + 1]) & (t.row[place[1:]] == t.row[place[:-1]])
-    tags = viterbi(odds, t.row[place], len(off) - 1, bare)
+    tags = viterbi(emissions(features, model.weights), t.row[place], len(off) - 1, _bare(t, place, ink), model.moves)
     cut = t.first.copy()
     cut[place[tags] + 1] = True
     segment = np.cumsum(cut[:n]) - 1
@@ -512,41 +585,133 @@ def units(cp: np.ndarray, off: np.ndarray, model: Model | None = None) -> tuple[
     return row, begin - base, end - base
 
 
-def train(texts: list[str | None], least: int = 20, share: float = 0.9) -> Model:
-    """A model from a bounded sample of texts; no texts give the priors alone."""
-    model = Model()
+#: Variance of the classes' weights and of all others under the prior.
+WIDE, NARROW = 9.0, 4.0
+#: Deviance from what the class foretells that a feature must show to be learned (odds of chance about 1 in 100,000).
+DEVIANCE = 20.0
+STEPS = 300
+
+
+def examples(texts: list[str | None]) -> tuple[_Text, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text with its line breaks stripped, candidates, features, line ends, known insides).
+
+    Candidates at the end of a text are left out: they tell nothing.
+    """
     cp, off = C.from_arrow(pa.array(texts, pa.string()))
-    t = _Text(cp, off)
-    if not len(t.cp):
-        return model
-    points = np.flatnonzero((t.kind == POINT) & (t.beside(np.arange(len(t.cp)), 1) == BLANK)) if len(t.cp) else np.zeros(0, np.int64)
-    if len(points):
-        word, size = t.word_before(points, dotted=False)
-        good = (size > 0) & (size <= 5) & (word > 0)
-        nxt = t.after(points)[good]
-        words, inverse = np.unique(word[good], return_inverse=True)
-        seen = np.bincount(inverse)
-        on = np.bincount(inverse, np.isin(nxt, (LOWER, COMMA)))
-        model.abbreviations = words[(seen >= least) & (on >= share * seen)]
-    # Thai: line ends, once their marks are stripped, against blanks that join.
-    at, joined = _thai(t)
-    breaks = np.flatnonzero(t.kind == BREAK)
-    breaks = breaks[(t.before(breaks) == THAI) & (t.after(breaks) == THAI)] if len(breaks) else breaks
-    negative = at[joined & (t.before(at) == THAI) & (t.after(at) == THAI)] if len(at) else at
-    if len(breaks) and len(negative):
-        for name, where in (("thai_before", t.before_at), ("thai_after", t.after_at)):
-            yes, no = (np.bincount(t.cp[np.maximum(where(x), 0)].astype(np.int64), minlength=0xE80)[0xE00:0xE80] for x in (breaks, negative))
-            odds = np.log((yes + 1) / (yes.sum() + 128)) - np.log((no + 1) / (no.sum() + 128))
-            getattr(model, name).update({0xE00 + i: float(v) for i, v in enumerate(odds)})
+    lines = _Text(cp, off)
+    flat = cp.copy()
+    flat[kinds()[cp] == BREAK] = 0x20
+    t = _Text(flat, off)
+    place, features = candidates(t)
+    keep = t.after_at(place) >= 0
+    place, features = place[keep], features[keep]
+    ended = (lines.after(place) == BREAK) | (lines.kind[place] == BREAK)
+    cls = features[:, 0]
+    known = np.isin(cls, [CLASSES.index(c) for c in KNOWN])
+    return t, place, features, ended, known & ~ended
+
+
+def _fit(features: np.ndarray, ended: np.ndarray, inside: np.ndarray, kept: float, mean: np.ndarray, narrow: np.ndarray) -> np.ndarray:
+    """The weights that make the line ends likeliest, by damped diagonal Newton steps."""
+    rows, times = np.unique(np.column_stack((features, ended, inside)), axis=0, return_counts=True)
+    features, ended, inside = rows[:, :COLUMNS], rows[:, COLUMNS] > 0, rows[:, COLUMNS + 1] > 0
+    used, local = np.unique(features, return_inverse=True)
+    local = local.reshape(features.shape)
+    w, mean = mean[used].astype(np.float64), mean[used].astype(np.float64)
+    inverse = 1 / np.where(narrow[used], NARROW, WIDE)
+    fixed = used == NOTHING
+    flat = local.ravel()
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(w[local].sum(axis=1), -30, 30)))
+        q = kept * p
+        slope = np.where(ended, 1 - p, np.where(inside, -p, -q * (1 - p) / (1 - q)))
+        bend = np.where(ended | inside, p * (1 - p), q * (1 - p)) + 1e-6
+        up = np.bincount(flat, np.repeat(slope * times, COLUMNS), len(used)) - (w - mean) * inverse
+        down = np.bincount(flat, np.repeat(bend * times, COLUMNS), len(used)) * COLUMNS + inverse
+        step = np.clip(up / down, -0.5, 0.5)
+        step[fixed] = 0
+        w += step
+        if np.abs(step).max() < 1e-3:
+            break
+    out = _hints()
+    out[used] = w
+    return out
+
+
+def _deviance(seen: np.ndarray, expected: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Twice the log likelihood ratio of ``seen`` of ``n`` against ``expected`` of ``n``."""
+
+    def part(k: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+
+    return 2 * (part(seen, expected) + part(n - seen, n - expected))
+
+
+def _telling(features: np.ndarray, weight: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Which features stand with ``seen`` far more or less often than ``expected`` by more than chance."""
+    flat, wide = features.ravel(), features.shape[1]
+    n, k, e = (np.bincount(flat, np.repeat(x, wide), BUCKETS) for x in (weight, seen * weight, expected * weight))
+    out = _deviance(k, e, n) > DEVIANCE
+    out[NOTHING] = False
+    return out
+
+
+def listed_model() -> Model:
+    """A model for texts that tell nothing (no line breaks to learn from): the lists are taken at their word."""
+    model = Model()
+    model.weights[[CLASSES.index(c) for c in ("leading", "ordinal", "blank_joined")]] = -1
+    return model
+
+
+#: Line ends that a sample must hold to train a model.
+LEAST_ENDS = 15
+
+
+def train(texts: list[str | None]) -> Model:
+    """A model from a bounded sample of texts; with fewer than LEAST_ENDS line ends in it, the listed model."""
+    model = Model()
+    t, place, features, ended, inside = examples(texts)
+    if ended.sum() < LEAST_ENDS:
+        return listed_model()
+    sure = features[:, 0] == CLASSES.index("mark")
+    if (sure & ended).sum() < LEAST_ENDS:
+        sure = (emissions(features, model.weights) > 0) & ~inside
+    kept = float(np.clip((ended & sure).sum() / max(sure.sum(), 1), 0.01, 0.9))
+    narrow = np.ones(BUCKETS, bool)
+    narrow[:OWN] = False
+    # Classes first; then whatever differs from its class by more than chance.
+    only = np.full_like(features, NOTHING)
+    only[:, 0] = features[:, 0]
+    first = _fit(only, ended, inside, kept, model.weights, narrow)
+    p = 1 / (1 + np.exp(-emissions(only, first)))
+    telling = _telling(features[:, 1:], (~inside).astype(float), ended.astype(float), kept * p)
+    # The words of known points, alone: what surrounds them explains their tag away otherwise.
+    words = np.flatnonzero((ended | inside) & (t.kind[place] == POINT) & (features[:, 2] != NOTHING))
+    if len(words):
+        telling |= _telling(features[words, 2:3], np.ones(len(words)), ended[words].astype(float), np.full(len(words), ended[words].mean()))
+    features = np.where(telling[features] | (np.arange(COLUMNS) == 0), features, NOTHING)
+    alone = np.full((len(words), COLUMNS), NOTHING, np.int32)
+    alone[:, 0], alone[:, 2] = WORD_ONLY, features[words, 2]
+    model.weights = _fit(np.concatenate((features, alone)), np.concatenate((ended, ended[words])), np.concatenate((inside, inside[words])), kept, model.weights, narrow)
+    model.weights[[NOTHING, WORD_ONLY]] = 0
+    model.weights[CLASSES.index("break")] = SURE
+    # Transitions: line ends behind each tag of the candidate before, against what the weights alone foretell there.
+    ink = (t.kind != BLANK) & (t.kind != BREAK)
+    bare, row, odds = _bare(t, place, ink), t.row[place], emissions(features, model.weights)
+    before = viterbi(odds, row, len(t.off) - 1, bare)[:-1].astype(np.int64)
+    free = (row[1:] == row[:-1]) & ~bare[1:]
+    seen = np.bincount(before[free], ended[1:][free], 2) + 5
+    expected = np.bincount(before[free], (kept / (1 + np.exp(-odds[1:])))[free], 2) + 5
+    model.moves = np.stack((np.zeros(2), np.log(seen / expected)), axis=1)
     return model
 
 
-#: Rows that ``sample`` takes for training.
-SAMPLE_ROWS = 4000
+#: Rows that ``sample`` takes for training, and the most characters of one of them.
+SAMPLE_ROWS, SAMPLE_CHARACTERS = 4000, 20_000
 
 
 def sample(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """A bounded sample of the texts, the same in every run: the rows whose keys hash lowest.
+    """A bounded sample of whole texts, the same in every run: those whose keys hash lowest, texts beyond SAMPLE_CHARACTERS left out.
 
     Rows are first drawn by hash at the rate that leaves about one and a half
     times as many as wanted, so partitions send few rows however many they are.
@@ -555,7 +720,7 @@ def sample(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[
 
     n = df.count()
     place = F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") / float(1 << 53)
-    drawn = df.where(F.col(text).isNotNull() & (place < min(1.0, 1.5 * rows / max(n, 1))))
+    drawn = df.where(F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARACTERS) & (place < min(1.0, 1.5 * rows / max(n, 1))))
     return [r[0] for r in drawn.orderBy(place, key).select(text).limit(rows).collect()]
 
 
@@ -564,7 +729,7 @@ def sentence_units(df: DataFrame, key: str, text: str, model: Model | None = Non
 
     Offsets are 0-based, half-open and count code points of the stored text.
     """
-    model = model or Model()
+    model = model or listed_model()
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
