@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.session import spread
+from caseloom.session import fits_broadcast, join_unique, spread
 
 from . import codepoints as C
 from . import regular as R
@@ -71,15 +71,25 @@ def fingerprints(df: DataFrame, key: str, text: str, schema: str, make: Callable
     return spread(df.select(key, *carry, text)).mapInArrow(run, f"{kinds}, ka bigint, kb bigint, {schema}")
 
 
+#: Texts of pairs whose keys may be broadcast (8 bytes each) so that no other text is shuffled.
+MOST_BROADCAST = 1_000_000
+
+
 def verified(pairs: DataFrame, texts: DataFrame, key: str, text: str, measure: str, least: float) -> DataFrame:
     """The pairs (a, b) whose run sets reach ``least``, with the measure.
 
     ``measure`` is 'jaccard' (shared of the union) or 'containment' (shared of
-    the smaller set).  ``texts`` holds each text once under ``key``; texts travel
-    to their pairs by two shuffle joins and are compared in Arrow batches.
+    the smaller set).  ``texts`` holds each text once under ``key``, ``pairs``
+    is a written table.  Only texts of pairs travel as long as their keys are
+    few enough to be broadcast; a text with very many pairs isn't shuffled with
+    them.  Pairs are compared in Arrow batches.
     """
     side = texts.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
-    both = pairs.join(side.select(F.col("__k").alias("a"), F.col("__t").alias("ta")), "a").join(side.select(F.col("__k").alias("b"), F.col("__t").alias("tb")), "b")
+    ids = pairs.select(F.col("a").alias("__k")).unionByName(pairs.select(F.col("b").alias("__k"))).distinct()
+    if fits_broadcast(ids, MOST_BROADCAST):
+        side = side.join(F.broadcast(ids), "__k", "left_semi")
+    both = join_unique(pairs.select("a", "b"), side.select(F.col("__k").alias("a"), F.col("__t").alias("ta")), ["a"])
+    both = join_unique(both, side.select(F.col("__k").alias("b"), F.col("__t").alias("tb")), ["b"], counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -145,9 +145,9 @@ def _block_pairs(hot: DataFrame, reps: DataFrame, labels: DataFrame | None = Non
 def _linked_in_blocks(hot: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """``found`` and what else connects the texts of hot variants: best partners first, then every pair that those leave apart."""
     found = cut(found, "links")
-    found = cut(found.unionByName(verified(_block_pairs(hot, reps).join(found, ["a", "b"], "left_anti"), texts, key, text, "jaccard", least)), "links")
+    found = cut(found.unionByName(verified(cut(_block_pairs(hot, reps).join(found, ["a", "b"], "left_anti"), "pairs"), texts, key, text, "jaccard", least)), "links")
     labels = cut(connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    return found.unionByName(verified(_block_pairs(hot, reps, labels), texts, key, text, "jaccard", least))
+    return found.unionByName(verified(cut(_block_pairs(hot, reps, labels), "pairs"), texts, key, text, "jaccard", least))
 
 
 def links(df: DataFrame, key: str, text: str, least: float = 0.70) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +163,7 @@ def links(df: DataFrame, key: str, text: str, least: float = 0.70) -> tuple[Data
     reps = cut(marks.join(classes.select(F.col("rep").alias(key)), key, "left_semi").select(F.col(key).alias("id"), "sig", *WORDS), "texts")
     pairs, hot = _pairs_under(_postings(reps), reps)
     lean = df.select(key, text)
-    found = verified(pairs.distinct(), lean, key, text, "jaccard", least)
+    found = verified(cut(pairs.distinct(), "pairs"), lean, key, text, "jaccard", least)
     if hot is not None:
         found = _linked_in_blocks(cut(hot.select("v", "id"), "hot"), found, reps, lean, key, text, least)
     members = join_unique(marks.select(key, "ka", "kb"), classes, ["ka", "kb"], counts=classes.withColumnRenamed("copies", "n")).select(key, "rep", "copies")
