@@ -1,15 +1,16 @@
 """Problem 7: passages of held-out items inside corpus documents.
 
-Method: training suffix arrays.  Each shard (a slice of documents) builds a
-suffix array of its letters, marks and digits, and every suffix of every test
-item is searched in it by bisection; the neighbours of the place give the
-longest verbatim match, which is extended to both sides and located.
-
-The array is sparse: a shared run of ``LEAST`` characters covers a whole step
-of ``STEP`` characters followed by ``DEPTH`` more, wherever it starts, so
+Method: training suffix arrays.  Each shard (a slice of documents) sorts the
+suffixes of its letters, marks and digits; the suffixes of all test items are
+sorted once a process.  Equal suffixes are found by bisection between the two
+sorted arrays, the shorter one in the longer; every place met is extended to
+both sides to its longest verbatim match and located.
+
+The shard's array is sparse: a shared run of ``LEAST`` characters covers a whole
+step of ``STEP`` characters followed by ``DEPTH`` more, wherever it starts, so
 suffixes at every STEP-th place, sorted by their first DEPTH characters, miss
-none.  Shards share nothing; only the items, a fixed table of checked size, go
-to all of them.
+none.  Shards share nothing; only items go to all of them, in blocks of checked
+size, each a pass over the documents.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from caseloom.session import spread
 
@@ -30,10 +33,10 @@ from .batches import slices
 LEAST = 60
 DEPTH = 30
 STEP = LEAST - DEPTH + 1
-#: Characters of items that are searched at once (all items together may be any number of such blocks).
+#: Characters of the items that one pass sends to every worker (60 bytes each, sorted).
 BLOCK = 4_000_000
-#: Items must fit a worker's memory; beyond, the caller splits them.
-MOST_CHARACTERS = 50_000_000
+#: Places of documents and items that are compared at once.
+PAIRS = 4_000_000
 
 _KINDS: dict[str, np.ndarray] = {}
 
@@ -66,14 +69,13 @@ def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _KINDS["lower"][cp], off
 
 
-def _ranks(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The DEPTH characters from each place as byte strings that sort like the characters (no byte is zero: numpy strings end there)."""
-    window = (cp[at[:, None] + np.arange(DEPTH)] + np.uint32(0x01010101)).astype(">u4")
-    return np.ascontiguousarray(window).view(f"S{4 * DEPTH}")[:, 0]
-
-
 class Items:
-    """The test items as one text, with all their suffixes."""
+    """The test items as one text, with all their suffixes in order.
+
+    Characters are numbered by the items' own alphabet, two bytes each (none
+    zero: numpy strings end there); a document's suffix with any other
+    character meets no item.
+    """
 
     def __init__(self, keys: list, texts: list[str | None]) -> None:
         self.keys = keys
@@ -82,8 +84,22 @@ class Items:
         # Suffixes that still have LEAST characters, and those up to STEP later: every place a match may be met at.
         size = np.where(n > 0, np.diff(self.off) - DEPTH + 1, 0)
         start = np.concatenate(([0], np.cumsum(size)))
-        self.at = np.arange(start[-1]) + np.repeat(self.off[:-1] - start[:-1], size)
-        self.item = np.repeat(np.arange(len(size)), size)
+        at = np.arange(start[-1]) + np.repeat(self.off[:-1] - start[:-1], size)
+        letters = np.unique(self.cp)
+        if len(letters) > 64_000:
+            raise ValueError("items use more than 64,000 characters")
+        self.number = np.zeros(C.TABLE, ">u2")
+        r = np.arange(len(letters))
+        self.number[letters] = (r // 255 + 1) * 256 + r % 255 + 1
+        rank = self.ranks(self.cp, at)
+        order = np.argsort(rank, kind="stable")
+        self.rank, self.at = rank[order], at[order]
+        self.item = np.repeat(np.arange(len(size)), size)[order]
+
+    def ranks(self, cp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The DEPTH characters from each place as byte strings that sort alike."""
+        window = self.number[cp[at[:, None] + np.arange(DEPTH)]] if len(at) else np.zeros((0, DEPTH), ">u2")
+        return np.ascontiguousarray(window).view(f"S{2 * DEPTH}")[:, 0]
 
 
 def _extend(a: np.ndarray, i: np.ndarray, low_a: np.ndarray, high_a: np.ndarray, b: np.ndarray, j: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +128,42 @@ def search(items: Items, cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
         return none, none, none, none
     start = np.concatenate(([0], np.cumsum(n)))
     at = (np.arange(start[-1]) - np.repeat(start[:-1], n)) * STEP + np.repeat(off[:-1], n)
-    key = _ranks(cp, at)
+    foreign = np.concatenate(([0], np.cumsum(items.number[cp] == 0)))
+    at = at[foreign[at + DEPTH] == foreign[at]]
+    key = items.ranks(cp, at)
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
-    found = []
-    for low in range(0, len(items.at), BLOCK):
-        place, item = items.at[low : low + BLOCK], items.item[low : low + BLOCK]
-        probe = _ranks(items.cp, place)
-        left = np.searchsorted(key, probe, "left")
-        many = np.searchsorted(key, probe, "right") - left
-        hit = np.flatnonzero(many)
-        if not len(hit):
-            continue
-        count = many[hit]
-        which = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.repeat(left[hit], count)
-        found.append((at[which], np.repeat(place[hit], count), np.repeat(item[hit], count)))
-    if not found:
+    if len(key) <= len(items.rank):
+        low, high = (np.searchsorted(items.rank, key, side) for side in ("left", "right"))
+    else:
+        # The other way round: each item suffix among the shard's, turned into bounds of item suffixes for each of those.
+        left, right = (np.searchsorted(key, items.rank, side) for side in ("left", "right"))
+        low, high = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        met = np.flatnonzero(right > left)
+        new = np.concatenate(([True], left[met][1:] != left[met][:-1])) if len(met) else np.zeros(0, bool)
+        begin, end = met[new], met[np.concatenate((new[1:], [True]))] + 1 if len(met) else met
+        size = (right - left)[begin]
+        where = np.arange(size.sum()) + np.repeat(left[begin] - np.concatenate(([0], np.cumsum(size)))[:-1], size)
+        low[where], high[where] = np.repeat(begin, size), np.repeat(end, size)
+    hit = np.flatnonzero(high > low)
+    at, low, count = at[hit], low[hit], (high - low)[hit]
+    best: list[tuple[np.ndarray, ...]] = []
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    done = 0
+    while done < len(hit):
+        # As many places as give PAIRS pairs; repetitive texts can give more than fit at once.
+        stop = max(done + 1, int(np.searchsorted(bounds, bounds[done] + PAIRS, side="right")) - 1)
+        part = slice(done, stop)
+        which = np.arange(bounds[stop] - bounds[done]) - np.repeat(bounds[part] - bounds[done], count[part]) + np.repeat(low[part], count[part])
+        best.append(_longest(items, cp, off, np.repeat(at[part], count[part]), items.at[which], items.item[which]))
+        done = stop
+    if not best:
         return none, none, none, none
-    i, j, item = (np.concatenate(x) for x in zip(*found))
-    doc = np.searchsorted(off, i, side="right") - 1
-    left, right = _extend(cp, i, off[:-1][doc], off[1:][doc], items.cp, j, items.off[:-1][item], items.off[1:][item])
-    length = left + right
-    good = length >= LEAST
-    doc, item, length, begin = doc[good], item[good], length[good], (i - left - off[:-1][doc])[good]
+    return _first_of_each(*(np.concatenate(x) for x in zip(*best)))
+
+
+def _first_of_each(doc: np.ndarray, item: np.ndarray, length: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The longest match of each document and item, the earliest among equals."""
     order = np.lexsort((begin, -length, item, doc))
     doc, item, length, begin = doc[order], item[order], length[order], begin[order]
     first = np.ones(len(doc), bool)
@@ -142,25 +171,52 @@ def search(items: Items, cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     return doc[first], item[first], length[first], begin[first]
 
 
+def _longest(items: Items, cp: np.ndarray, off: np.ndarray, i: np.ndarray, j: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The longest match of LEAST or more of each document and item among places that are met (i in the documents, j in the items)."""
+    doc = np.searchsorted(off, i, side="right") - 1
+    # Neighbours on a diagonal extend to the same match if the one character between them agrees too: one of them is enough.
+    order = np.lexsort((i, i - j, item, doc))
+    doc, item, i, j = doc[order], item[order], i[order], j[order]
+    needed = np.ones(len(i), bool)
+    needed[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(i - j) != 0) | (np.diff(i) != STEP) | (cp[i[1:] - 1] != items.cp[j[1:] - 1])
+    doc, item, i, j = doc[needed], item[needed], i[needed], j[needed]
+    left, right = _extend(cp, i, off[:-1][doc], off[1:][doc], items.cp, j, items.off[:-1][item], items.off[1:][item])
+    length = left + right
+    good = length >= LEAST
+    return _first_of_each(doc[good], item[good], length[good], (i - left - off[:-1][doc])[good])
+
+
 def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item_key, match_length, match_start) of every document and item that share a run of LEAST characters.
 
     Runs are of letters, marks and digits in regular form and lower case;
     match_start counts such characters.  Null, empty and short texts share none.
-    Items of more than MOST_CHARACTERS in all are refused: split them and unite the results.
+    Items of more than BLOCK characters in all take a pass over the documents
+    for each such block.
     """
-    size = items.selectExpr(f"coalesce(sum(length({item_text})), 0) AS n").first()["n"]
-    if size > MOST_CHARACTERS:
-        raise ValueError(f"items hold {size} characters; at most {MOST_CHARACTERS} can be sent to every shard")
-    rows = items.select(item_key, item_text).collect()  # bounded by the check above
+    sized = items.select(item_key, F.coalesce(F.char_length(item_text), F.lit(0)).alias("__n"))
+    total = sized.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // (BLOCK // 2)))
+    out = None
+    for block in range(blocks):
+        part = items.select(item_key, item_text)
+        one = _leaks_of(documents, key, text, part.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == block) if blocks > 1 else part, item_key, item_text)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _leaks_of(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """``leaks`` of one block of items, which is sent to every worker."""
+    rows = items.collect()  # some BLOCK characters
     sent = documents.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
     kept: list[Items] = []
-    out_schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, match_length bigint, match_start bigint"
+    kind = items.schema[item_key].dataType
+    out_schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, `{item_key}` {kind.simpleString()}, match_length bigint, match_start bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Items(*sent.value) if not kept else kept[0]
         kept[:] = [found]
-        item_keys = pa.array(found.keys)
+        item_keys = pa.array(found.keys, to_arrow_type(kind))
         for whole in batches:
             for batch in slices(whole, text, 12_000_000):
                 cp, off = plain(batch.column(text))
@@ -177,7 +233,5 @@ def clean_documents(documents: DataFrame, found: DataFrame, key: str) -> DataFra
 
 def leaked_items(items: DataFrame, found: DataFrame, item_key: str) -> DataFrame:
     """(item_key, n_documents, longest) of every item, zero where it did not leak."""
-    from pyspark.sql import functions as F
-
     n = found.groupBy(item_key).agg(F.count(F.lit(1)).alias("n_documents"), F.max("match_length").alias("longest"))
     return items.select(item_key).join(n, item_key, "left").select(item_key, F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
