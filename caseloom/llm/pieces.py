@@ -27,6 +27,7 @@ from caseloom.session import spread
 from . import codepoints as C
 from . import sentences as S
 from . import tokens as K
+from .batches import slices
 
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
 _SECTION = re.compile(r"\n[^\S\n]*\n\s*")
@@ -37,21 +38,21 @@ _WORD = re.compile(r"\s+|(?<=[^\w\s])(?=\w)", re.UNICODE)
 class _Sized:
     """A text with the number of tokens up to each character."""
 
-    def __init__(self, text: str, encode, byte_length: np.ndarray) -> None:
-        ids = np.asarray(encode(text), np.int64)
+    def __init__(self, text: str, tokens: list[int], encode, byte_length: np.ndarray) -> None:
+        ids = np.asarray(tokens, np.int64)
         ends = np.cumsum(byte_length[ids]) if len(ids) else np.zeros(0, np.int64)
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
         start = np.concatenate(([0], np.cumsum(width)))
         self.text, self.encode = text, encode
         #: Tokens that end at or before each place, and those that begin before it.
-        self.done = np.searchsorted(ends, start, side="right")
-        self.begun = np.searchsorted(np.concatenate(([0], ends[:-1])) if len(ends) else ends, start, side="left")
+        self.done = np.searchsorted(ends, start, side="right").tolist()
+        self.begun = np.searchsorted(np.concatenate(([0], ends[:-1])) if len(ends) else ends, start, side="left").tolist()
         self.total = len(ids)
 
     def between(self, a: int, b: int) -> int:
         """Tokens that touch the characters from a to b (an upper estimate of what the piece alone takes)."""
-        return int(self.begun[b] - self.done[a])
+        return self.begun[b] - self.done[a]
 
     def exact(self, a: int, b: int) -> int:
         return len(self.encode(self.text[a:b]))
@@ -109,13 +110,14 @@ def leaves(sized: _Sized, room: int, model: S.Model) -> tuple[list[int], list[in
     return places, levels
 
 
-def pieces(text: str, limit: int, overlap: int, path: str, model: S.Model) -> list[tuple[int, int, int, int, str]]:
+def pieces(text: str, limit: int, overlap: int, path: str, model: S.Model, encoded: list[int] | None = None) -> list[tuple[int, int, int, int, str]]:
     """(start, end, tokens, shared characters with the piece before, level of the cut at the end) of every piece.
 
-    Pieces cover the text; a text within the limit is one piece.
+    Pieces cover the text; a text within the limit is one piece.  ``encoded``
+    are the text's tokens where they are known already.
     """
-    coder = K.encoding(path)
-    sized = _Sized(text, coder.encode_ordinary, _byte_lengths(path))
+    encode = K.encoding(path).encode_ordinary
+    sized = _Sized(text, encode(text) if encoded is None else encoded, encode, _byte_lengths(path))
     n = len(text)
     if sized.total <= limit:
         return [(0, n, sized.total, 0, "end")] if n else []
@@ -191,13 +193,13 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 1500, overl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = K.encoding(path).encode_ordinary
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for low in range(0, len(texts), 200):
+        for whole in batches:
+            for batch in slices(whole, text):
                 rows, at = [], []
-                for i, x in enumerate(texts[low : low + 200], low):
-                    if x and len(x.encode()) > limit and len(encode(x)) > limit:
-                        made = pieces(x, limit, overlap, path, model)
+                for i, x in enumerate(batch.column(text).to_pylist()):
+                    encoded = encode(x) if x and len(x.encode()) > limit else []
+                    if len(encoded) > limit:
+                        made = pieces(x, limit, overlap, path, model, encoded)
                         rows += [(k, a, b, size, o, cut, x[a:b]) for k, (a, b, size, o, cut) in enumerate(made, 1)]
                         at += [i] * len(made)
                 if rows:

@@ -493,39 +493,54 @@ LATE = 1e-3
 
 
 def viterbi(odds: np.ndarray, row: np.ndarray, rows: int, bare: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
-    """The best boundary tags of all candidates; texts are decoded side by side.
+    """The best boundary tags of all candidates.
 
     States are inside, boundary and closed (a boundary lies behind, with no ink
     since).  ``bare`` marks candidates with no ink between them and the
-    candidate before: there boundary and closed lead to closed only.  ``moves`` are
-    the weights of going from inside or boundary to inside or boundary.
+    candidate before: there boundary and closed lead to closed only.  ``moves``
+    are the weights of going from inside or boundary to inside or boundary.
+
+    A candidate whose odds outweigh whatever both transitions can add has its
+    tag whatever stands beside it, so chains are cut there; what is left of
+    all texts, mostly runs of marks, is decoded side by side.
     """
     moves = np.zeros((2, 2)) if moves is None else moves
-    tags = np.zeros(len(odds), bool)
+    tags = odds > 0
     if not len(odds):
         return tags
-    count = np.bincount(row, minlength=rows)
-    start = np.concatenate(([0], np.cumsum(count)))[:-1]
+    reach = 2 * (moves.max() - moves.min())
+    follows = np.concatenate((bare[1:], [False]))
+    rest = np.flatnonzero(bare | follows | (np.abs(odds) <= reach))
+    if not len(rest):
+        return tags
+    same = np.concatenate(([False], row[1:] == row[:-1]))
+    first = np.ones(len(rest), bool)
+    first[1:] = (np.diff(rest) > 1) | ~same[rest[1:]]
+    head = rest[first]
+    count = np.diff(np.concatenate((np.flatnonzero(first), [len(rest)])))
+    # What the settled neighbours of a chain add to its ends.
+    before = np.where(same[head], tags[np.maximum(head - 1, 0)].astype(np.int64), -1)
+    tail = head + count - 1
+    after = np.where((tail + 1 < len(odds)) & np.concatenate((same[1:], [False]))[tail], tags[np.minimum(tail + 1, len(odds) - 1)].astype(np.int64), -1)
+    enter = np.where(before[:, None] >= 0, moves[np.maximum(before, 0)], 0.0)
+    leave = np.where(after[:, None] >= 0, moves[:, np.maximum(after, 0)].T, 0.0)
     order = np.argsort(-count, kind="stable")
-    order = order[count[order] > 0]
-    steps = int(count[order[0]])
+    head, count, enter, leave = head[order], count[order], enter[order], leave[order]
+    steps, n = int(count[0]), len(head)
     yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
-    live = np.searchsorted(-count[order], -np.arange(1, steps + 1), side="right")
-    n = len(order)
+    live = np.searchsorted(-count, -np.arange(1, steps + 1), side="right")
     inside, boundary, closed = np.zeros(n), np.full(n, -np.inf), np.full(n, -np.inf)
     came = np.zeros((steps, n), np.uint8)  # where the best ways to inside and boundary come from (0, 1, 2, the latter times 8), plus 4 if that to closed comes from closed
     for s in range(steps):
         m = live[s]
-        at = start[order[:m]] + s
-        i, b, c, tight = inside[:m], boundary[:m], closed[:m], bare[at]
-        free = ~tight
-        best = []
-        source = np.zeros(m, np.uint8)
+        at = head[:m] + s
+        i, b, c, tight = inside[:m], boundary[:m], closed[:m], bare[at] & (s > 0)
+        best, source = [], np.zeros(m, np.uint8)
         for to in (0, 1):
             far = moves[1, to] if s else 0.0
-            top, way = i + (moves[0, to] if s else 0.0), np.zeros(m, np.uint8)
+            top, way = i + (moves[0, to] if s else enter[:m, to]), np.zeros(m, np.uint8)
             for state, score in ((1, b), (2, c)):
-                better = free & (score + far > top)
+                better = ~tight & (score + far > top)
                 top[better], way[better] = score[better] + far, state
             best.append(top)
             source += way << (3 * to)
@@ -533,13 +548,14 @@ def viterbi(odds: np.ndarray, row: np.ndarray, rows: int, bare: np.ndarray, move
         came[s, :m] = source + 4 * (c > b)
         inside[:m], boundary[:m] = best[0] + no[at], best[1] + yes[at]
         closed[:m] = np.where(tight, shut + no[at], -np.inf)
+    inside, boundary, closed = inside + leave[:, 0], boundary + leave[:, 1], closed + leave[:, 1]
     state = np.zeros(n, np.uint8)
     for s in range(steps - 1, -1, -1):
         m = live[s]
         newly = slice(live[s + 1] if s + 1 < steps else 0, m)
         state[newly] = np.argmax(np.stack((inside[newly], boundary[newly], closed[newly])), axis=0)
         now, back = state[:m], came[s, :m]
-        tags[start[order[:m]] + s] = now == 1
+        tags[head[:m] + s] = now == 1
         state[:m] = np.where(now == 2, np.where(back & 4, 2, 1), np.where(now == 1, back >> 3, back & 3))
     return tags
 

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def longest(a, b):
     return best
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(8)
     fresh = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
     items = [(i, fresh(rng.randrange(50, 300))) for i in range(20)] + [(50, None), (51, "")]
@@ -109,12 +110,32 @@ def test_leaks(spark):
                 want[(d, i)] = longest(plain(x), plain(y))
     assert {k: v for k, v in got.items() if k[0] != 99} == want
     assert {i for d, i in got if d == 99} >= {i for i in (3, 4) if len(items[i][1]) >= 60}
+    # Several passes over blocks of items, and few places at a time, find the same.
+    monkeypatch.setattr(leakage, "BLOCK", 2000)
+    again = leakage.leaks(D, "doc_id", "text", I, "item_id", "text")
+    assert {(r.doc_id, r.item_id): r.match_length for r in again.collect()} == got
     clean = {r.doc_id for r in leakage.clean_documents(D, found, "doc_id").collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in got}
     assert leakage.leaked_items(I, found, "item_id").count() == len(items)
     assert leakage.leaks(D.limit(0), "doc_id", "text", I, "item_id", "text").count() == 0 and leakage.leaks(D, "doc_id", "text", I.limit(0), "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("pairs", [7, 4_000_000])
+def test_repetitive_texts(monkeypatch, pairs):
+    # Periodic runs meet at every place; differing characters right between two places part a diagonal.
+    monkeypatch.setattr(leakage, "PAIRS", pairs)
+    rng = random.Random(6)
+    items = ["0" * 150, "ab" * 70, "x" * 59, "".join(rng.choice("ab") for _ in range(200)), "0" * 70 + "q" + "0" * 90]
+    docs = ["0" * 400 + "z" + "ab" * 45, "k" + "ab" * 200, items[3][:95] + "Q" + items[3][96:], "0" * 61 + "1" + "0" * 100, "y" + items[3][20:90] + "a" * 40, "0" * 65 + "q" + "0" * 65] * 3
+    found = leakage.Items(list(range(len(items))), items)
+    for small in (True, False):  # either side may be the shorter one
+        some = docs if small else docs * 40
+        doc, item, length, _ = leakage.search(found, *leakage.plain(pa.array(some)))
+        got = {(int(d), int(i)): int(n) for d, i, n in zip(doc, item, length) if d < len(docs)}
+        want = {(d, i): longest(x.lower(), y.lower()) for d, x in enumerate(docs) for i, y in enumerate(items)}
+        assert got == {k: n for k, n in want.items() if n >= 60}
+
+
 def test_mixture(spark):
     rows = [(i, "big" if i % 3 else "mid", 100 + i % 50) for i in range(6000)] + [(10_000 + i, "small", 10) for i in range(50)] + [(20_000, None, 500), (20_001, "other", 500)]
     counted = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
