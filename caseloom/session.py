@@ -36,10 +36,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for cut lineages: spark.checkpoint.dir, or a temporary one where that is unset (local runs and tests)."""
+    """The folder for cut lineages: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process.
+
+    A cluster without that setting is refused: a folder of one machine is
+    neither seen by the others nor kept when it is lost.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_CHECKPOINTS:
         _LOCAL_CHECKPOINTS[app] = tempfile.mkdtemp(prefix="caseloom-")

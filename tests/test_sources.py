@@ -1,3 +1,4 @@
+import hashlib
 import json
 import zipfile
 
@@ -41,19 +42,34 @@ def test_zip_lines(spark, tmp_path):
 
 
 def test_archives(spark, tmp_path):
-    path = str(tmp_path / "p.zip")
-    archives.pack(path, {"a.txt": b"hello\n", "b.txt": b""})
-    assert archives.unpack(path, {"a.txt", "b.txt"})["a.txt"] == b"hello\n"
-    with pytest.raises(ValueError):
-        archives.unpack(path, {"a.txt"})
-    with pytest.raises(FileExistsError):
-        archives.pack(path, {"a.txt": b""})
-    with pytest.raises(ValueError):
-        archives.pack(str(tmp_path / "q.zip"), {"../a": b""})
-    with zipfile.ZipFile(path, "a") as z:
-        z.writestr("c.txt", b"more")
-    with pytest.raises(ValueError):
-        archives.unpack(path)
+    def package(name, members, sums=None):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for n, data in members:
+                z.writestr(n, data)
+            if sums is not None:
+                z.writestr(archives.CHECKSUMS, json.dumps(sums))
+
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    package("good.zip", [("a.txt", b"hello\n"), ("b.txt", b"")], {"a.txt": h(b"hello\n"), "b.txt": h(b"")})
+    package("bad.zip", [("a.txt", b"x"), ("../e", b"y"), ("more", b"z" * 2000)], {"a.txt": h(b"y"), "gone": h(b""), "../e": h(b"y")})
+    package("bare.zip", [("a.txt", b"x")])
+    with pytest.warns(UserWarning):
+        package("twice.zip", [("a.txt", b"x"), ("a.txt", b"x")], {"a.txt": h(b"x")})
+    members = archives.zip_members(spark, str(tmp_path), most_bytes=1000)
+    expected = spark.createDataFrame([("a.txt",), ("b.txt",)], "name string")
+    got = {}
+    for r in archives.package_problems(members, expected, most_bytes=1000, most_total=1500).collect():
+        got.setdefault(r.package.rsplit("/", 1)[1], set()).add((r.name, r.problem))
+    assert got == {
+        "bad.zip": {("a.txt", "altered"), ("../e", "unsafe_name"), ("more", "oversized"), ("more", "unlisted"), (None, "oversized_package"), ("gone", "missing"), ("../e", "not_expected"), ("more", "not_expected"), ("b.txt", "expected")},
+        "bare.zip": {(None, "no_checksums"), ("b.txt", "expected")}, "twice.zip": {("a.txt", "repeated"), ("b.txt", "expected")},
+    }
+    assert archives.package_problems(members.limit(0)).count() == 0
+    archives.write_package(members.where("package LIKE '%good.zip' AND name <> 'checksums.json'"), str(tmp_path / "out"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        archives.write_package(members, str(tmp_path / "out"))
+    rows, problems = archives.read_package(spark, str(tmp_path / "out"))
+    assert rows.count() == 2 and problems.count() == 0
     folder = archives.fresh_folder(str(tmp_path / "f"))
     (folder / "a").write_bytes(b"hello\n")
     (folder / "b").write_bytes(b"x")
@@ -72,16 +88,17 @@ def run(stream, mode, tmp_path, name):
 
 
 def test_streamed_ledger_over_batches(spark, tmp_path):
-    batches = [[("r1", 1, "rejected", 1), ("r2", 1, "pending", 2)], [("r1", 2, "accepted", 3), ("r1", 1, "rejected", 1)], [("r1", 3, "api_error", 4), ("r2", 2, "rejected", 5), (None, 1, "x", 6)]]
+    batches = [[("r1", 1, "rejected", 1, 1), ("r2", 1, "pending", 2, 2), ("r3", 1, "pending", 7, 9), ("r3", 1, "rejected", 5, 8)], [("r1", 2, "accepted", 3, 3), ("r1", 1, "rejected", 1, 1)], [("r1", 3, "api_error", 4, 4), ("r2", 2, "rejected", 5, 5), (None, 1, "x", 6, 6)]]
     for i, b in enumerate(batches):
-        spark.createDataFrame(b, "request_hash string, attempt bigint, status string, entry_no bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(b, "request_hash string, attempt bigint, status string, entry_no bigint, recorded_at bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         assert i < 3
     like = spark.read.parquet(str(tmp_path / "in"))
     rows = run(SL.request_states(SW.read_table_stream(spark, str(tmp_path / "in"), like)), "update", tmp_path, "ledger")
     last = {}
     for r in rows:
         last[r.request_hash] = max(last.get(r.request_hash, (0,)), (r.last_attempt, r.attempts, r.state))
-    assert last == {"r1": (3, 3, "accepted"), "r2": (2, 2, "rejected")}
+    # Of an attempt delivered twice the entry recorded first counts, whatever its status is called.
+    assert last == {"r1": (3, 3, "accepted"), "r2": (2, 2, "rejected"), "r3": (1, 1, "rejected")}
 
 
 def test_windows(spark, tmp_path):
