@@ -9,17 +9,18 @@ from caseloom.functions import text as X
 from caseloom.operators import cases as K
 
 from .base import Plans, Tables
-from .cases import OUTCOME, POST, key, plain, trim
+from .cases import OUTCOME, POST, key
+from .sqltext import form, nfkc, spans
 
 P = Plans()
 
 
-@P.add(f"SELECT ref_no, sha256({plain('facts')}) AS text_hash FROM train_references WHERE facts IS NOT NULL")
+@P.add(f"SELECT ref_no, sha256({form('facts')}) AS text_hash FROM train_references WHERE facts IS NOT NULL")
 def normalized_hash(t: Tables) -> DataFrame:
-    return t.train_references.where("facts IS NOT NULL").select("ref_no", F.sha2(X.without_space("facts"), 256).alias("text_hash"))
+    return t.train_references.where("facts IS NOT NULL").select("ref_no", F.sha2(X.normalized_fact("facts"), 256).alias("text_hash"))
 
 
-@P.add()
+@P.add(f"SELECT ref_no, {form('facts')} AS form FROM train_references")
 def nfkc_facts(t: Tables) -> DataFrame:
     return t.train_references.select("ref_no", X.normalized_fact("facts").alias("form"))
 
@@ -42,12 +43,14 @@ def screen_report(t: Tables) -> DataFrame:
     return t.train_references.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum(risk.cast("bigint")).alias("n_risk"))
 
 
-_TERMS = ", ".join(f"'{x}'" for x in X.CIRCUMSTANCES)
+#: Circumstances that these tables' texts name.
+_NAMED = ("退缴", "传唤", "签收", "扣押")
+_TERMS = ", ".join(f"'{x}'" for x in _NAMED)
 
 
 @P.add(f"""SELECT ref_no, term FROM (SELECT ref_no, facts, opinion, unnest([{_TERMS}]) AS term FROM train_references WHERE opinion IS NOT NULL) WHERE contains(opinion, term) AND NOT coalesce(contains(facts, term), false)""")
 def opinion_only_terms(t: Tables) -> DataFrame:
-    return t.train_references.where("opinion IS NOT NULL").select("ref_no", F.explode(X.opinion_only_terms("facts", "opinion")).alias("term"))
+    return t.train_references.where("opinion IS NOT NULL").select("ref_no", F.explode(X.opinion_only_terms("facts", "opinion", _NAMED)).alias("term"))
 
 
 @P.add(f"""SELECT raw_no, clause FROM (SELECT raw_no, unnest(regexp_split_to_array(fact, '[。；\n]')) AS clause FROM raw_cases) WHERE regexp_matches(clause, '{X.TERM}') AND regexp_matches(clause, '{X.NUMBER}')""")
@@ -55,13 +58,19 @@ def clause_risk_filter(t: Tables) -> DataFrame:
     return t.raw_cases.select("raw_no", F.explode(X.clauses_with_terms("fact")).alias("clause"))
 
 
-@P.add()
+_HINTS = f"""
+SELECT raw_no, 'possible_outcome_text_review' AS kind, NULL::INT AS start_pos, NULL::INT AS end_pos, NULL::VARCHAR AS quote FROM raw_cases WHERE regexp_matches(fact, '{OUTCOME}')
+UNION ALL SELECT raw_no, 'postjudgment_input_review', NULL, NULL, NULL FROM raw_cases WHERE regexp_matches(fact, '{POST}')
+UNION ALL {spans("raw_cases", "raw_no", "fact", {k: v.replace(chr(92) + "n", chr(10)) for k, v in X.HINTS.items()})}"""
+
+
+@P.add(_HINTS)
 def hint_spans(t: Tables) -> DataFrame:
     """Review flags of raw records, hints with their places."""
     return K.review_flags(t.raw_cases, "raw_no", "fact")
 
 
-@P.add()
+@P.add(f"SELECT kind, count(DISTINCT raw_no) AS n_rows, count(*) AS n_spans FROM ({_HINTS}) GROUP BY kind")
 def rows_not_spans_counts(t: Tables) -> DataFrame:
     return K.review_flags(t.raw_cases, "raw_no", "fact").groupBy("kind").agg(F.count_distinct("raw_no").alias("n_rows"), F.count(F.lit(1)).alias("n_spans"))
 
@@ -71,11 +80,13 @@ _CUE = "\nUNION ALL ".join(f"SELECT '{k}' AS cue, count(*) AS n_rows FROM train_
 
 @P.add(f"SELECT * FROM ({_CUE}) WHERE n_rows > 0")
 def rows_with_cue(t: Tables) -> DataFrame:
-    spans = t.train_references.where("facts IS NOT NULL").select("ref_no", F.explode(X.find_spans(X.CUES)("facts")).alias("s"))
-    return spans.groupBy(F.col("s.kind").alias("cue")).agg(F.count_distinct("ref_no").alias("n_rows"))
+    """Rows that hold each cue: one pass of pattern tests, no spans."""
+    java = {k: v.replace("\\d", "\\p{Nd}") for k, v in X.CUES.items()}
+    n = t.train_references.agg(*[F.count_if(F.col("facts").rlike(v)).alias(k) for k, v in java.items()])
+    return n.select(F.explode(F.create_map(*[x for k in java for x in (F.lit(k), F.col(k))])).alias("cue", "n_rows")).where("n_rows > 0")
 
 
-@P.add()
+@P.add(spans("train_references", "ref_no", "facts", X.CUES))
 def cue_spans(t: Tables) -> DataFrame:
     return t.train_references.where("facts IS NOT NULL").select("ref_no", F.explode(X.find_spans(X.CUES)("facts")).alias("s")).select("ref_no", "s.*")
 
