@@ -37,6 +37,11 @@ def summary_columns() -> list[Column]:
     return [n.alias("n"), valid.alias("n_valid"), F.try_divide(valid, n).alias("coverage"), mae.alias("mae_valid"), rmse.alias("rmse_valid"), F.when(valid == n, mae).alias("mae_full"), F.when(valid == n, rmse).alias("rmse_full")]
 
 
+def rouge_columns() -> list[Column]:
+    """Mean character similarity of reasoning and opinion, and the number of valid answers that have an opinion."""
+    return [F.avg("char_rouge_l").alias("mean_rouge"), F.count("char_rouge_l").alias("n_rouge")]
+
+
 def summarize(detail: DataFrame, *by: str) -> DataFrame:
     return detail.groupBy(*by).agg(*summary_columns()) if by else detail.agg(*summary_columns())
 
@@ -47,28 +52,65 @@ def paired(first: DataFrame, second: DataFrame, key: str = "id") -> DataFrame:
     return a.join(second.where("valid").select(key, F.col("absolute_error").alias("__b")), key).select(key, (F.col("__b") - F.col("__a")).alias("delta"))
 
 
+def _weights(key: Column, seed: int) -> tuple[Column, Column]:
+    """Start and step of a key's points in the samples: 28-bit numbers of its md5, which SQL engines share."""
+    h = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(h, 1, 7), 16, 10).cast("bigint"), F.conv(F.substring(h, 8, 7), 16, 10).cast("bigint")
+
+
+#: A prime (2^31 - 1); a key's point in sample b is (start + b x step) modulo it.
+PRIME = 2_147_483_647
+#: Points at or above which a Poisson(1) weight is at least 1, 2, ... (fixed values: the distribution in millionths).
+POISSON = (367_879, 735_759, 919_699, 981_012, 996_340, 999_406, 999_917, 999_990, 999_999)
+
+
 def bootstrap(deltas: DataFrame, key: str = "id", samples: int = 2000, seed: int = 42) -> DataFrame:
     """(n, mean_delta, ci_low, ci_high): percentile interval of the mean under resampling.
 
     Poisson bootstrap: each case enters each sample with a Poisson(1) weight
-    hashed from its key and the sample's number, so samples need no positions
-    and cases are read once; sums are combined map-side.
+    hashed from its key and the sample's number, so samples need no positions.
+    A partition makes the weights of all samples in one Arrow pass and hands on
+    one sum a sample.  The ends are the means at places int(0.025 x samples) and
+    int(0.975 x samples) of their order.
     """
+    import numpy as np
+    import pyarrow as pa
+
     if samples < 100:
         raise ValueError("use at least 100 samples")
-    steps, p, below = [], 2.718281828459045**-1, 0.0
-    for k in range(12):
-        below += p
-        steps.append(below)
-        p /= k + 1
-    draws = deltas.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col("b")), 11).cast("double") / float(1 << 53)
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u >= s).cast("int")
-    means = draws.groupBy("b").agg(F.try_divide(F.sum(F.col("delta") * weight), F.sum(weight)).alias("m"))
-    ends = means.agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
-    return deltas.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean_delta")).crossJoin(F.broadcast(ends))
+    start, step = _weights(F.col(key), seed)
+
+    def run(batches):
+        total, weight = np.zeros(samples), np.zeros(samples)
+        b = np.arange(samples, dtype=np.int64)
+        for batch in batches:
+            a, s, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "s", "d"))
+            for low in range(0, len(a), 1000):
+                point = (a[low : low + 1000, None] + b * s[low : low + 1000, None]) % PRIME * 1_000_000 // PRIME
+                w = np.searchsorted(np.array(POISSON), point, side="right")
+                total += d[low : low + 1000] @ w
+                weight += w.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(total), pa.array(weight)], names=["b", "t", "w"])
+
+    rows = deltas.where("delta IS NOT NULL").select(start.alias("a"), step.alias("s"), F.col("delta").cast("double").alias("d"))
+    means = rows.mapInArrow(run, "b bigint, t double, w double").groupBy("b").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
+    sorted_means = F.sort_array(F.collect_list("m"))  # one number a sample
+    at = [int(samples * p) for p in (0.025, 0.975)]
+    ends = means.agg(*[F.get(sorted_means, F.lit(min(samples - 1, i))).alias(name) for i, name in zip(at, ("ci_low", "ci_high"))])
+    return deltas.agg(F.count("delta").alias("n"), F.avg("delta").alias("mean_delta")).crossJoin(F.broadcast(ends))
+
+
+def compare(first: DataFrame, second: DataFrame, key: str = "id", samples: int = 2000, seed: int = 42) -> DataFrame:
+    """(status, n, n_valid, mean_delta, ci_low, ci_high) of two arms over the same cases.
+
+    Refused (status partial_coverage, no figures) unless every case is valid on
+    both sides: failures are neither left out nor counted as zero.
+    """
+    a = first.select(key, F.col("valid").alias("__x"))
+    seen = a.join(second.select(key, F.col("valid").alias("__y")), key, "full").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("__x") & F.col("__y"), F.lit(False))).alias("n_valid"))
+    figures = bootstrap(paired(first, second, key), key, samples, seed).drop("n")
+    full = F.col("n") == F.col("n_valid")
+    return seen.crossJoin(F.broadcast(figures)).select(F.when(full, "compared").otherwise("partial_coverage").alias("status"), "n", "n_valid", *[F.when(full, F.col(c)).alias(c) for c in ("mean_delta", "ci_low", "ci_high")])
 
 
 def common_valid(details: DataFrame, arm: str, n_arms: int, key: str = "id") -> DataFrame:

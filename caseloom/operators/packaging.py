@@ -30,9 +30,12 @@ def jobs(df: DataFrame, key: str, system: str, variant: str = "direct") -> DataF
 
 
 def training_pairs(df: DataFrame, key: str, system: str, variant: str = "direct") -> DataFrame:
-    """Prompt and completion of every non-test row that has an opinion and a label; test rows never pass."""
+    """Prompt and completion of every row outside the test split that has an opinion and a label.
+
+    A row without a split isn't a test row and passes; test rows never do.
+    """
     opinion = opinion_or_null("opinion")
-    rows = df.where("split <> 'test' AND facts IS NOT NULL AND charge IS NOT NULL AND sentence_months IS NOT NULL").where(opinion.isNotNull())
+    rows = df.where("NOT split <=> 'test' AND facts IS NOT NULL AND charge IS NOT NULL AND sentence_months IS NOT NULL").where(opinion.isNotNull())
     answer = F.to_json(F.struct(opinion.alias("reasoning"), F.col("sentence_months")))
     return rows.select(
         key, "id", "split", F.lit(variant).alias("variant"), "dataset", "source_id", messages(system, visible(df)).alias("prompt"),

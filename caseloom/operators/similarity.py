@@ -10,13 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import gram_hashes
-from caseloom.session import cut, fits_broadcast, spread
+from caseloom.session import cut, fits_broadcast, join_unique, spread
 
 LEAST_RUNS = 20
 #: Guard run hashes that may be broadcast (12 bytes each, some 25 MB); more take a shuffle join.
 MOST_BROADCAST = 1_000_000
 
 
+def text_classes(grams: DataFrame, order: Column | None = None) -> DataFrame:
+    """(id, rep, copies) of every row of a gram table: rows of one normal form have one representative.
+
+    It is the row that comes first in ``order``, by default the one of least id.
+    """
+    first = F.min(F.struct(*([order.alias("o")] if order is not None else []), F.col("id")))
+    reps = grams.groupBy("form_hash").agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
+    members = join_unique(grams.select("id", "form_hash"), reps.select("form_hash", F.col("f.id").alias("rep"), F.col("n").alias("copies")), ["form_hash"], counts=reps.select("form_hash", "n"))
+    return members.select("id", "rep", "copies")
+
+
 def gram_table(df: DataFrame, key: str, form: Column) -> DataFrame:
     """(id, form_hash, runs) of every text that isn't null or blank in its normal form."""
     return spread(df.select(F.col(key).alias("id"), form.alias("__f"))).where("__f IS NOT NULL AND __f <> ''").select("id", F.xxhash64("__f").alias("form_hash"), gram_hashes(F.col("__f")).alias("runs"))
@@ -39,14 +50,18 @@ def guard_matches(corpus: DataFrame, guard: DataFrame, threshold: float = 0.85)
 
 
 def containment_pairs(grams: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(a, b, n_shared, n_least) of all pairs a < b within one gram table.
+    """(a, b, n_shared, n_least) of all pairs a < b of different texts within one gram table.
+
+    Copies stand as one text under their least id; ``text_classes`` tells which
+    rows it stands for, so a text that stands a million times gives no more
+    pairs than one that stands once.
 
     Prefix filter: if the smaller text shares enough, it shares one of its
     ``n - ceil(threshold n) + 1`` rarest runs with the larger.  Only those are
     joined to the full sets, then candidates are verified on whole sets.
-    Equal texts are found by hash and join the result with their full size.
     """
-    sized = cut(grams.withColumn("n", F.size("runs")), "grams")
+    once = grams.groupBy("form_hash").agg(F.min_by(F.struct("id", "runs"), "id").alias("x")).select("x.id", "x.runs")
+    sized = cut(once.withColumn("n", F.size("runs")), "grams")
     flat = sized.select("id", "n", F.explode("runs").alias("run"))
     often = flat.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Runs that stand in one text only come first in the order of rarity and match nothing.
@@ -56,10 +71,21 @@ def containment_pairs(grams: DataFrame, threshold: float = 0.85) -> DataFrame:
     pairs = head.where(f"n >= {LEAST_RUNS}").alias("s").join(kept.alias("l"), "run").where("s.n < l.n OR (s.n = l.n AND s.id <> l.id)").select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b")).distinct()
     left, right = sized.select(F.col("id").alias("a"), F.col("runs").alias("ra")), sized.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
     checked = cut(pairs, "pairs").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ra", "rb")).cast("bigint").alias("n_shared"), F.least(F.size("ra"), F.size("rb")).alias("n_least"))
-    near = checked.where(F.col("n_shared") >= F.col("n_least") * threshold)
-    same = sized.select("id", "form_hash", "n")
-    equal = same.alias("x").join(same.alias("y"), "form_hash").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").cast("bigint").alias("n_shared"), F.col("x.n").alias("n_least"))
-    return near.unionByName(equal).distinct()
+    return checked.where(F.col("n_shared") >= F.col("n_least") * threshold)
+
+
+def greedy_distinct(rows: DataFrame, key: str, form: Column, order: Column, threshold: float = 0.85) -> DataFrame:
+    """The rows left when each is dropped whose text equals, contains or stands in that of an earlier kept one.
+
+    Of copies only the first in ``order`` can be kept, so pairs are made of one
+    row a text.  Rows with null or blank text match nothing and stay.
+    """
+    grams = cut(gram_table(rows, key, form), "runs")
+    members = cut(text_classes(grams.join(rows.select(F.col(key).alias("id"), order.alias("__o")), "id"), F.col("__o")), "members")
+    first = grams.join(members.where("id = rep").select("id"), "id", "left_semi")
+    pairs = containment_pairs(first, threshold)
+    later = members.where("id <> rep").select(F.col("id").alias(key))
+    return greedy_keep(rows.join(later, key, "left_anti"), pairs, key, order)
 
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame, key: str, order: Column) -> DataFrame:

@@ -119,11 +119,51 @@ def paired_delta(t: Tables) -> DataFrame:
     return E.paired(rows.where("arm = 'direct'"), rows.where("arm = 'bound'"))
 
 
-@P.add()
+_PAIRED = f"{_DETAIL}, dl AS (SELECT x.id, y.e - x.e AS delta FROM d x JOIN d y ON x.id = y.id AND x.arm = 'direct' AND y.arm = 'bound' WHERE x.valid AND y.valid)"
+_STEPS = " + ".join(f"(p >= {x})::INT" for x in E.POISSON)
+_BOOT = f"""h AS (SELECT delta, ('0x' || md5(id || '|42')[1:7])::BIGINT AS a, ('0x' || md5(id || '|42')[8:14])::BIGINT AS s FROM dl),
+w AS (SELECT b, delta, {_STEPS} AS w FROM (SELECT b, delta, (a + b * s) % {E.PRIME} * 1000000 // {E.PRIME} AS p FROM h, (SELECT unnest(generate_series(0, 1999)) AS b))),
+m AS (SELECT b, sum(delta * w) / sum(w) AS m FROM w GROUP BY b), o AS (SELECT list_sort(list(m)) AS o FROM m)"""
+
+
+@P.add(f"WITH {_PAIRED}, {_BOOT} SELECT count(*) AS n, avg(delta) AS mean_delta, any_value(o[51]) AS ci_low, any_value(o[1951]) AS ci_high FROM dl, o")
 def bootstrap_interval(t: Tables) -> DataFrame:
+    """Interval of the difference between two arms over the cases that both answered."""
     return E.bootstrap(paired_delta(t))
 
 
+@P.add(f"""WITH {_DETAIL} SELECT CASE WHEN count(*) = sum((x.valid AND y.valid)::INT) THEN 'compared' ELSE 'partial_coverage' END AS status, count(*) AS n, sum((x.valid AND y.valid)::INT)::BIGINT AS n_valid,
+  CASE WHEN count(*) = sum((x.valid AND y.valid)::INT) THEN avg(y.e - x.e) END AS mean_delta, NULL::DOUBLE AS ci_low, NULL::DOUBLE AS ci_high FROM d x JOIN d y ON x.id = y.id AND x.arm = 'direct' AND y.arm = 'bound'""")
+def compare_refused(t: Tables) -> DataFrame:
+    """Two arms over all gold cases: coverage is partial, so no difference is given."""
+    rows = arm_errors(t)
+    return E.compare(rows.where("arm = 'direct'"), rows.where("arm = 'bound'"))
+
+
+@P.add(f"WITH {_PAIRED}, {_BOOT} SELECT 'compared' AS status, count(*) AS n, count(*) AS n_valid, avg(delta) AS mean_delta, any_value(o[51]) AS ci_low, any_value(o[1951]) AS ci_high FROM dl, o")
+def compare_common(t: Tables) -> DataFrame:
+    """Two arms over the cases that both answered: full coverage, so they are compared."""
+    rows = arm_errors(t).where("arm IN ('direct', 'bound')")
+    common = rows.join(E.common_valid(rows, "arm", 2), "id", "left_semi")
+    return E.compare(common.where("arm = 'direct'"), common.where("arm = 'bound'"))
+
+
+@P.add(f"""WITH {_DETAIL}, s AS (SELECT *, id IN (SELECT id FROM d WHERE valid GROUP BY id HAVING count(DISTINCT arm) = 3) AS shared FROM d),
+g AS (SELECT arm, CASE WHEN grouping(charge) = 0 THEN 'charge:' || charge WHEN grouping(shared) = 0 THEN 'shared:' || shared ELSE 'all' END AS scope, {_SUMMARY} FROM s GROUP BY GROUPING SETS ((arm), (arm, shared), (arm, charge)))
+SELECT x.scope, x.n, x.mae_full AS direct_mae, y.mae_full AS bound_mae, y.mae_full - x.mae_full AS delta FROM g x JOIN g y ON x.scope = y.scope AND x.arm = 'direct' AND y.arm = 'bound'""")
+def scoped_summary(t: Tables) -> DataFrame:
+    """Two arms over all cases, over those all arms answered and not, and by charge; a difference only where both are fully covered."""
+    rows = arm_errors(t)
+    shared = E.common_valid(rows, "arm", len(ARMS)).withColumn("__s", F.lit(True))
+    rows = rows.join(shared, "id", "left").withColumn("shared", F.coalesce("__s", F.lit(False)))
+    sets = rows.groupingSets([["arm"], ["arm", "shared"], ["arm", "charge"]], "arm", "shared", "charge")
+    g = sets.agg(F.grouping("charge").alias("gc"), F.grouping("shared").alias("gs"), *E.summary_columns())
+    scope = F.when(F.col("gc") == 0, F.concat(F.lit("charge:"), "charge")).when(F.col("gs") == 0, F.concat(F.lit("shared:"), F.col("shared").cast("string"))).otherwise("all")
+    g = g.withColumn("scope", scope)
+    a, b = g.where("arm = 'direct'").select("scope", "n", F.col("mae_full").alias("direct_mae")), g.where("arm = 'bound'").select("scope", F.col("mae_full").alias("bound_mae"))
+    return a.join(b, "scope").withColumn("delta", F.col("bound_mae") - F.col("direct_mae"))
+
+
 @P.add(f"""WITH {_DETAIL} SELECT x.id, x.prediction AS before, y.prediction AS after FROM d x JOIN d y ON x.id = y.id AND x.arm = 'flat' AND y.arm = 'bound' WHERE x.prediction IS DISTINCT FROM y.prediction""")
 def paired_changes(t: Tables) -> DataFrame:
     rows = arm_errors(t)
@@ -137,6 +177,18 @@ def agreed_votes(t: Tables) -> DataFrame:
     return arm_errors(t).groupBy("id").agg(F.when(F.count_distinct("prediction") == 1, F.min("prediction")).alias("label"), F.count("prediction").alias("n_votes"))
 
 
+@P.add("""WITH m AS (SELECT charge, round_even(quantile_cont(sentence_months, 0.5), 0)::BIGINT AS b FROM train_references WHERE split = 'train' AND sentence_months IS NOT NULL AND charge IS NOT NULL GROUP BY charge),
+g AS (SELECT round_even(quantile_cont(sentence_months, 0.5), 0)::BIGINT AS b FROM train_references WHERE split = 'train' AND sentence_months IS NOT NULL)
+SELECT ref_no, coalesce(m.b, g.b) AS baseline, m.b IS NULL AS fell_back FROM (SELECT ref_no, charge FROM train_references WHERE split IN ('dev', 'test')) t LEFT JOIN m USING (charge) CROSS JOIN g""")
+def baseline_predictions(t: Tables) -> DataFrame:
+    """Each held-out record with the median months of its charge in training, or of all where the charge has none."""
+    rows = t.train_references.where("split = 'train' AND sentence_months IS NOT NULL")
+    median = F.bround(F.percentile("sentence_months", 0.5), 0).cast("bigint")
+    by, all_ = rows.where("charge IS NOT NULL").groupBy("charge").agg(median.alias("b")), rows.agg(median.alias("g"))
+    held = t.train_references.where("split IN ('dev', 'test')").select("ref_no", "charge")
+    return held.join(by, "charge", "left").crossJoin(F.broadcast(all_)).select("ref_no", F.coalesce("b", "g").alias("baseline"), F.col("b").isNull().alias("fell_back"))
+
+
 @P.add("SELECT charge, round_even(quantile_cont(sentence_months, 0.5), 0)::BIGINT AS baseline, count(*) AS n FROM train_references WHERE split = 'train' AND sentence_months IS NOT NULL GROUP BY charge")
 def median_baseline(t: Tables) -> DataFrame:
     rows = t.train_references.where("split = 'train' AND sentence_months IS NOT NULL")

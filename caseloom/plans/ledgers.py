@@ -37,10 +37,11 @@ def ledger_status(t: Tables) -> DataFrame:
     return state(t).groupBy("state", "attempts").agg(F.count(F.lit(1)).alias("n"))
 
 
-@P.add(f"WITH {_STATE} SELECT request_hash, state, attempts, last_attempt FROM state WHERE state NOT IN ('accepted', 'pending') AND attempts < 3 ORDER BY attempts, request_hash LIMIT 20")
+@P.add(f"WITH {_STATE.replace('FROM once GROUP', 'FROM once WHERE attempt = 1 GROUP')} SELECT request_hash, state, attempts, last_attempt FROM state WHERE state NOT IN ('accepted', 'pending') AND attempts < 3 ORDER BY attempts, request_hash LIMIT 20")
 def budget_plan(t: Tables) -> DataFrame:
-    """The next 20 requests a budget would send."""
-    return L.open_requests(state(t), 20, "request_hash")
+    """The 20 requests that a budget would send after the first wave of attempts."""
+    first = L.fold(once(t).where("attempt = 1"), "request_hash", "attempt", "status", "entry_no")
+    return L.open_requests(first, 20, "request_hash")
 
 
 @P.add(f"""

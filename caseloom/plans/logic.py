@@ -13,7 +13,7 @@ from caseloom.operators import packaging as G
 from caseloom.operators import rules as R
 
 from .base import Plans, Tables
-from .cases import trim
+from .sqltext import json_text, trim
 
 P = Plans()
 
@@ -71,10 +71,17 @@ def edge_closure(t: Tables) -> DataFrame:
     return R.closure(n.unionByName(s))
 
 
-@P.add()
+_CHAIN = "list_transform(str_split(line, ' -> '), lambda x: trim(x))"
+_CHAIN_ID = "'chain_' || sha256('[\"any\",' || to_json(array_to_string(p, chr(1)))::VARCHAR || ']')[1:16]"
+
+
+@P.add(f"""
+WITH l AS (SELECT charge || ' -> situation -> outcome' AS line FROM charge_targets UNION ALL SELECT charge || ' -> outcome' FROM charge_targets), c AS (SELECT {_CHAIN} AS p FROM l)
+SELECT CASE WHEN len(p) = 3 THEN {_CHAIN_ID} END AS rule_id, {_CHAIN_ID} || '_p' AS premise_id, {_CHAIN_ID} || '_s' AS situation_id, p[1] AS premise, p[2] AS situation, p[3] AS effect, 'any' AS charge, 'invented' AS source, '1' AS version, len(p) = 3 AS ok FROM c""")
 def parsed_chains(t: Tables) -> DataFrame:
     """Chains ``a -> b -> c`` made of charges, read back."""
-    lines = t.charge_targets.select(F.concat_ws(" -> ", "charge", F.lit("situation"), F.lit("outcome")).alias("line"))
+    whole, part = (F.concat_ws(" -> ", "charge", *map(F.lit, rest)) for rest in (("situation", "outcome"), ("outcome",)))
+    lines = t.charge_targets.select(F.explode(F.array(whole, part)).alias("line"))
     return R.parse_chains(lines, "line", "any", "invented", "1")
 
 
@@ -87,20 +94,35 @@ def review_partition(t: Tables) -> DataFrame:
     return K.partition_reviewed(rows, "ref_no", rows.where("sentence_months = 0"), rows.where(opinion_or_null("opinion").isNull())).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@P.add()
+_VISIBLE = f"""'{{"charge":' || {json_text("charge")} || ',"facts":' || {json_text("facts")} || CASE WHEN target_person <> '' THEN ',"target_person":' || {json_text("target_person")} ELSE '' END || '}}'"""
+
+
+def messages_sql(system: str, user: str) -> str:
+    """SQL: two messages as JSON."""
+    return f"""'[{{"role":"system","content":' || {json_text(system)} || '}},{{"role":"user","content":' || {json_text(user)} || '}}]'"""
+
+
+_ANSWER = "'Answer in JSON.'"
+
+
+@P.add(f"""SELECT ref_no, id, 'direct' AS variant, split, m AS messages, sha256(m) AS prompt_hash FROM (SELECT ref_no, id, split, {messages_sql(_ANSWER, _VISIBLE)} AS m
+  FROM train_references WHERE split IN ('dev', 'test') AND facts IS NOT NULL AND charge IS NOT NULL)""")
 def jobs(t: Tables) -> DataFrame:
-    """Label-free jobs of the dev and test cases."""
-    return G.jobs(t.train_references.where("split IN ('dev', 'test')"), "ref_no", "Answer in JSON.")
+    """Label-free jobs of the dev and test cases, messages as JSON."""
+    return G.jobs(t.train_references.where("split IN ('dev', 'test')"), "ref_no", "Answer in JSON.").withColumn("messages", F.to_json("messages"))
 
 
-@P.add(f"SELECT ref_no, id, split FROM train_references WHERE split <> 'test' AND facts IS NOT NULL AND charge IS NOT NULL AND sentence_months IS NOT NULL AND lower({trim('opinion')}) NOT IN ('', '未知', 'unknown', 'null', 'none')")
+@P.add(f"SELECT ref_no, id, split FROM train_references WHERE coalesce(split, '') <> 'test' AND facts IS NOT NULL AND charge IS NOT NULL AND sentence_months IS NOT NULL AND lower({trim('opinion')}) NOT IN ('', '未知', 'unknown', 'null', 'none')")
 def sft_rows(t: Tables) -> DataFrame:
     return G.training_pairs(t.train_references, "ref_no", "Answer in JSON.").select("ref_no", "id", "split")
 
 
-@P.add()
+@P.add(f"""SELECT ref_no, id, split, 'direct' AS variant, dataset, source_id, {messages_sql(_ANSWER, _VISIBLE)} AS prompt,
+  '[{{"role":"assistant","content":' || {json_text("'{" + '"reasoning":' + "' || " + json_text("opinion") + " || ',\"sentence_months\":' || sentence_months || '}'")} || '}}]' AS completion
+FROM train_references WHERE coalesce(split, '') <> 'test' AND facts IS NOT NULL AND charge IS NOT NULL AND sentence_months IS NOT NULL AND lower({trim('opinion')}) NOT IN ('', '未知', 'unknown', 'null', 'none')""")
 def sft_pairs(t: Tables) -> DataFrame:
-    return G.training_pairs(t.train_references, "ref_no", "Answer in JSON.")
+    """Prompts and completions of the training records, as JSON."""
+    return G.training_pairs(t.train_references, "ref_no", "Answer in JSON.").withColumns({c: F.to_json(c) for c in ("prompt", "completion")})
 
 
 @P.add("SELECT split, dataset, count(*) AS n FROM train_references GROUP BY split, dataset")
@@ -127,9 +149,12 @@ def union_of_inputs(t: Tables) -> DataFrame:
     return out.groupBy("lang", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@P.add("SELECT id FROM train_references WHERE split IN ('dev', 'test') AND id IS NOT NULL EXCEPT SELECT id FROM predictions")
+@P.add("SELECT id, arm FROM train_references, (SELECT DISTINCT arm FROM predictions) WHERE split IN ('dev', 'test') AND id IS NOT NULL EXCEPT SELECT id, arm FROM predictions")
 def unpredicted_cases(t: Tables) -> DataFrame:
-    return t.train_references.where("split IN ('dev', 'test') AND id IS NOT NULL").select("id").subtract(t.predictions.select("id"))
+    """Held-out cases that an arm has no output for (arms are few; each case is crossed with their list)."""
+    arms = t.predictions.agg(F.collect_set("arm").alias("arms"))
+    cases = t.train_references.where("split IN ('dev', 'test') AND id IS NOT NULL").select("id").distinct().crossJoin(F.broadcast(arms))
+    return cases.select("id", F.explode("arms").alias("arm")).subtract(t.predictions.select("id", "arm"))
 
 
 QUERIES, SQL = P.queries, P.sql

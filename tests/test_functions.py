@@ -49,6 +49,12 @@ def test_text_columns(spark):
     assert [u.text for u in df.where("i = 0").select(X.source_units("t").alias("u")).first().u] == ["甲乙。", "丙\n\n", "丁！"]
 
 
+def test_nfkc_in_batches(spark):
+    texts = ["ＡＢ", None, "e\u0301", "a\0ﬁ", "", "\u0301x", "plain", "①ﾊﾞ"]
+    got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).orderBy("i").select(X.nfkc("t").alias("n")).collect()]
+    assert got == [x if x is None else unicodedata.normalize("NFKC", x) for x in texts]
+
+
 def test_quotes_names_bins(spark):
     df = spark.createDataFrame([("abcabc", "bc"), ("abcd", "bc"), ("abcd", "x"), ("abcd", ""), ("aaa", "aa"), (None, "a"), ("a", None)], "t string, q string")
     got = [r.q.status for r in df.select(X.quote_status("t", "q").alias("q")).collect()]

@@ -12,7 +12,7 @@ from caseloom.operators import packaging as G
 from caseloom.operators import rules as R
 from caseloom.operators import sampling as D
 from caseloom.operators import similarity as M
-from caseloom.operators.components import connected_components, entity_components
+from caseloom.operators.components import connected_components, entity_components, record_components
 from caseloom.session import join_unique
 
 
@@ -99,7 +99,13 @@ def test_containment_pairs_and_guard(spark):
     rows = texts()
     df = spark.createDataFrame(rows, "i bigint, t string").repartition(3)
     grams = M.gram_table(df, "i", X.without_space("t"))
-    assert {tuple(r) for r in M.containment_pairs(grams).collect()} == brute_pairs(rows)
+    first = {}
+    for i, x in rows:
+        first.setdefault("".join((x or "").split()), i)
+    assert {tuple(r) for r in M.containment_pairs(grams).collect()} == {p for p in brute_pairs(rows) if {p[0], p[1]} <= set(first.values())}
+    members = {r.id: (r.rep, r.copies) for r in M.text_classes(grams).collect()}
+    forms = {i: "".join((x or "").split()) for i, x in rows}
+    assert members == {i: (first[f], list(forms.values()).count(f)) for i, f in forms.items() if f}
     guard = grams.where("id % 4 = 0")
     got = {(r.id, r.guard_id) for r in M.guard_matches(grams, guard).collect()}
     want = {(a, b) for p in brute_pairs(rows) for a, b in ((p[0], p[1]), (p[1], p[0])) if b % 4 == 0} | {(i, i) for i, x in rows if x and x.strip() and i % 4 == 0}
@@ -123,6 +129,31 @@ def test_greedy_keep(spark):
     assert M.greedy_keep(nodes, spark.createDataFrame([], "a bigint, b bigint"), "i", F.col("i")).count() == 45
 
 
+def test_greedy_distinct(spark):
+    rows = texts()
+    near = {}
+    for a, b, _, _ in brute_pairs(rows):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    kept = []
+    for i, _ in reversed(rows):
+        if not near.get(i, set()) & set(kept):
+            kept.append(i)
+    df = spark.createDataFrame(rows, "i bigint, t string").repartition(3)
+    assert sorted(r.i for r in M.greedy_distinct(df, "i", X.without_space("t"), -F.col("i")).collect()) == sorted(kept)
+
+
+def test_record_components(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]) and f"s{rng.randrange(30)}", rng.choice([f"e{rng.randrange(60)}", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k bigint, s string, e string").repartition(4)
+    a = {r.k: r.component for r in record_components(df, "k", ["s", "e"]).collect()}
+    b = {r.k: r.component for r in entity_components(df, "k", ["s", "e"]).collect()}
+    same = lambda x: {frozenset(k for k in x if x[k] == c) for c in set(x.values())}
+    assert len(a) == 120 and same(a) == same(b)
+    assert record_components(df.limit(0), "k", ["s"]).count() == 0
+
+
 def test_group_split(spark):
     rows = [(i, f"s{i // 2}", f"f{i // 3}", f"c{i // 30}") for i in range(120)] + [(500, "alone", "alone", "rare")]
     df = spark.createDataFrame(rows, "k bigint, s string, f string, charge string")
@@ -144,6 +175,24 @@ def test_samples(spark):
     assert got == {"a": 5, "b": 5, "c": 5, "d": 3}
 
 
+def test_bootstrap_and_comparison(spark):
+    rng = random.Random(5)
+    rows = [(f"c{i}", True, rng.gauss(0, 5), rng.gauss(0, 5) - 1) for i in range(300)]
+    a = spark.createDataFrame([(i, v, abs(x)) for i, v, x, _ in rows], "id string, valid boolean, absolute_error double")
+    b = spark.createDataFrame([(i, v, abs(y)) for i, v, _, y in rows], "id string, valid boolean, absolute_error double").repartition(5)
+    d = [abs(y) - abs(x) for _, _, x, y in rows]
+    mean = sum(d) / len(d)
+    spread = (sum((x - mean) ** 2 for x in d) / len(d)) ** 0.5 / len(d) ** 0.5
+    r = E.compare(a, b).first()
+    assert (r.status, r.n, r.n_valid) == ("compared", 300, 300) and abs(r.mean_delta - mean) < 1e-9
+    assert abs((r.ci_high - r.ci_low) / (2 * 1.96 * spread) - 1) < 0.15 and r.ci_low < mean < r.ci_high
+    refused = E.compare(a, b.where("id <> 'c7'")).first()
+    assert (refused.status, refused.n, refused.n_valid, refused.mean_delta, refused.ci_low) == ("partial_coverage", 300, 299, None, None)
+    assert E.compare(a.limit(0), b.limit(0)).first().n == 0
+    with pytest.raises(ValueError):
+        E.bootstrap(a, samples=50)
+
+
 def test_metrics(spark):
     gold = spark.createDataFrame([("1", "x", "abc", 10), ("2", "x", None, 20), ("3", "y", "abc", 30)], "id string, charge string, opinion string, sentence_months bigint")
     ok = lambda m: f'{{"reasoning": "abd", "sentence_months": {m}}}'
@@ -191,15 +240,22 @@ def test_rules(spark):
     with pytest.raises(ValueError):
         R.ordered(BUNDLE)
     assert [r["id"] for r in R.ordered(BUNDLE, drafts=True)][-1] == "r2"
-    assert {r["id"] for r in R.selected(BUNDLE, "x")["rules"]} == {"r1", "r2", "r3"} and [c["id"] for c in R.selected(BUNDLE, "z")["conditions"]] == ["c"]
+    charges = spark.createDataFrame([(c,) for c in "xyzw"], "charge string")
+    covered = {}
+    for r in R.covering(*R.rule_tables(spark, BUNDLE), charges).collect():
+        covered.setdefault(r.charge, {})[r.rule] = r.conditions
+    assert covered == {"x": {"r1": ["a"], "r2": ["b"], "r3": ["c"]}, "y": {"r1": ["a"]}, "z": {"r3": ["c"]}}
+    assert R.bundle_problems(BUNDLE) == [("r3", "not_reviewed")] and R.bundle_problems(BUNDLE, True) == []
+    broken = {"schema_version": 2, "conditions": [{"id": "a", "text": " "}], "rules": [{"id": "r", "charges": [], "when": "b", "requires": ["q"]}, {"id": "r", "charges": ["*"], "when": "a", "source": "s", "version": "1", "effect": {"k": 1}, "requires": ["r"]}]}
+    assert set(map(tuple, R.problem_table(spark, broken, True).collect())) == {("bundle", "schema_version"), ("a", "no_text"), ("r", "repeated"), ("r", "no_charges"), ("r", "unknown_condition"), ("r", "unknown_rule"), ("r", "no_source"), ("r", "no_version"), ("r", "no_effect"), ("r", "cycle")}
     df = spark.createDataFrame([({"a": False, "b": True, "c": False},), ({"a": False, "b": True},), ({"a": True},)], "s map<string,boolean>")
     assert [r.rule_r2 for r in R.compose(df, BUNDLE, "s", True).collect()] == [True, None, False]
+    trace = R.traced(df, BUNDLE, "s", True).collect()
+    assert [{s.rule: s.state for s in r.trace}["r2"] for r in trace] == ["supported", "unknown", "refuted"] and [r.unknown for r in trace] == [[], ["c"], ["b", "c"]]
     loop = {**BUNDLE, "rules": [{**BUNDLE["rules"][1], "requires": ["r1"]}]}
     for bad in (loop, {**BUNDLE, "schema_version": 2}, {**BUNDLE, "conditions": []}):
         with pytest.raises(ValueError):
             R.ordered(bad, True)
-    with pytest.raises(ValueError):
-        R.selected(BUNDLE, "w")
     got = {tuple(r) for r in R.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")).collect()}
     assert got == {(x, y) for x in "abcd" for y in "abc"}
     chains = R.parse_chains(spark.createDataFrame([("p -> s -> e",), (" ",), ("p -> s",)], "l string"), "l", "c", "s", "1").collect()
