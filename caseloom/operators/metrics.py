@@ -127,6 +127,25 @@ def weighted_median(df: DataFrame, group: str, value: str, mass: str) -> DataFra
     return run.where(F.col("c") >= 0.5 * F.col("total_mass")).groupBy(group).agg(F.min(value).alias("median_value"), F.first("mean_value").alias("mean_value"), F.first("total_mass").alias("total_mass"))
 
 
+def number_summary(df: DataFrame, group: str, value: str, mass: str, greedy: str | None = None, top: int = 8, least: float = 1e-3) -> DataFrame:
+    """(group, median_value, mean_value, top_values, pruned_mass[, greedy_value]) of weighted numbers.
+
+    Values of less than ``least`` of a group's mass are pruned before the rest
+    is read; ``top_values`` are the heaviest, heaviest first, ties by value.
+    """
+    per = df.where(F.col(value).isNotNull() & (F.col(mass) > 0)).groupBy(group, value).agg(F.sum(mass).alias("m"), *([F.max(greedy).alias("greedy_value")] if greedy else []))
+    whole = per.groupBy(group).agg(F.sum("m").alias("t"))
+    shares = per.join(whole, group).withColumn("m", F.col("m") / F.col("t"))
+    kept = shares.where(F.col("m") >= least)
+    w = Window.partitionBy(group)
+    run = kept.withColumn("c", F.sum("m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("k", F.sum("m").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("m"), value)))
+    tops = F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= top, F.struct("r", F.col(value).alias("v"))))), lambda x: x["v"])
+    return run.groupBy(group).agg(
+        F.min(F.when(F.col("c") >= F.col("k") * 0.5, F.col(value))).alias("median_value"), (F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("mean_value"), tops.alias("top_values"),
+        (1 - F.sum("m")).alias("pruned_mass"), *([F.max("greedy_value").alias("greedy_value")] if greedy else []),
+    )
+
+
 def quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """mean, min, p10, p25, median, p75, p90 and max with linear interpolation."""
     q = F.percentile(value, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
