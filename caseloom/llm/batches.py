@@ -1,4 +1,4 @@
-"""Arrow batches cut into slices of bounded text, so that a worker's arrays stay small."""
+"""Arrow batches cut into slices of bounded text, so that a worker's arrays stay small, and points hashed from keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text a slice may hold (one row may exceed it: rows are never cut).
 SLICE_BYTES = 3_000_000
@@ -26,3 +28,9 @@ def slices(batch: pa.RecordBatch, columns: str | list[str], most: int = SLICE_BY
         high = max(low + 1, int(np.searchsorted(before, before[low] + most, side="right")) - 1)
         yield batch.slice(low, high - low)
         low = high
+
+
+def hashed_point(seed: int, *key: Column | str) -> Column:
+    """A point in [0, 1) hashed from a key and a seed: 52 bits of an md5, the same in every run and in SQL engines."""
+    parts = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / float(1 << 52)

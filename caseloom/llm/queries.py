@@ -27,6 +27,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlapping_pairs(load(spark, sf_dir, "train_references"), "ref_no", "facts", "split")
 
 
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its text class and the number of records across the splits that it overlaps."""
+    return overlap.linked_rows(load(spark, sf_dir, "train_references"), "ref_no", "facts", "split")
+
+
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps with the training split per evaluation split, dataset and source_id."""
     return overlap.overlap_counts(load(spark, sf_dir, "train_references"), "ref_no", "facts", "split", ["dataset", "source_id"])

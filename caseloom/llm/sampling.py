@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import hashed_point
+
 BINS = 4096
 
 
@@ -71,7 +73,7 @@ def proportional_sample(found: DataFrame, wanted: DataFrame, key: str, seed: int
     if not plan:
         return found.where(F.lit(False))
     rate = [(r["charge"], min(r["wanted"], r["n_rows"]), min(1.0, (r["wanted"] + extra * math.sqrt(r["wanted"]) + 8) / r["n_rows"])) for r in plan]
-    point = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") / float(1 << 53)
+    point = hashed_point(seed, key)
     drawn = found.join(F.broadcast(spark.createDataFrame(rate, "category string, __wanted bigint, __rate double")), "category").withColumn("__at", point)
     some = drawn.where("__at < __rate").withColumn("__bin", F.floor(F.col("__at") / F.col("__rate") * BINS))
     counts = some.groupBy("category", "__bin").agg(F.count(F.lit(1)).alias("n"), F.first("__wanted").alias("w"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from caseloom.operators.components import record_components
 from caseloom.session import cut, join_unique
 
+from .batches import hashed_point
+
 
 def source_entity(dataset: str = "dataset", source_id: str = "source_id") -> Column:
     """One spelling of a source: dataset and source_id without regard to letter case, outer blanks and a leading ./ of source_id.
@@ -26,7 +28,7 @@ def source_entity(dataset: str = "dataset", source_id: str = "source_id") -> Col
 
 
 def assign_splits(df: DataFrame, key: str, entities: list[Column | str], targets: DataFrame, seed: int = 42) -> DataFrame:
-    """(key, component, new_split) of every row.
+    """(key, first_key, new_split) of every row; first_key is the least key of its component.
 
     ``targets`` holds (split, share); shares are scaled to a sum of one and the
     splits ordered by name, so the ranges are the same in every run.  Rows of
@@ -38,13 +40,15 @@ def assign_splits(df: DataFrame, key: str, entities: list[Column | str], targets
     if not shares:
         raise ValueError("no split has a positive share")
     whole, reached, pick = sum(x for _, x in shares), 0.0, None
-    point = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "component"), 11).cast("double")) / float(1 << 53)
     for name, share in shares[:-1]:
         reached += share / whole
-        pick = F.when(point < reached, name) if pick is None else pick.when(point < reached, name)
+        pick = F.when(F.col("__point") < reached, name) if pick is None else pick.when(F.col("__point") < reached, name)
     last = F.lit(shares[-1][0])
     split = last if pick is None else pick.otherwise(last)
-    return record_components(df, key, entities).withColumn("new_split", split)
+    parts = cut(record_components(df, key, entities), "parts")
+    first = parts.groupBy("component").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n"))
+    placed = first.withColumn("__point", hashed_point(seed, "first_key")).select("component", "first_key", split.alias("new_split"))
+    return join_unique(parts, placed, ["component"], counts=first.select("component", "n")).select(key, "first_key", "new_split")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ def test_splits(spark, monkeypatch):
         seen = collections.defaultdict(set)
         for r in rows:
             if field(r) is not None:
-                seen[field(r)].add((by[r[0]].component, by[r[0]].new_split))
+                seen[field(r)].add((by[r[0]].first_key, by[r[0]].new_split))
         assert all(len(x) == 1 for x in seen.values())
-    assert by[1000].component != by[1001].component
+    assert by[1000].first_key != by[1001].first_key
     rounds = []
     monkeypatch.setattr(components, "_large_star", lambda edges, n, f=components._large_star: rounds.append(n) or f(edges, n))
     mixed = {tuple(r)[0] for r in splits.straddling_rows(df, "ref_no", [splits.source_entity()], "split").collect()}

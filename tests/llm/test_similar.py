@@ -58,6 +58,8 @@ def test_overlap(spark):
     keys = sorted(k for k in sets if sets[k])
     want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if {part[a], part[b]} in ({"train", "dev"}, {"train", "test"}) and len(sets[a] & sets[b]) >= 0.85 * min(len(sets[a]), len(sets[b])) - 1e-9}
     assert got <= want and len(got) >= 0.97 * len(want)
+    links = {r.ref_no: r.n_links for r in overlap.linked_rows(df, "ref_no", "facts", "split").collect()}
+    assert {k: n for k, n in links.items() if n} == {k: sum(k in p for p in got) for k in {k for p in got for k in p}} and set(links) == {k for k in keys if part[k]}
     n = {tuple(r)[:3]: r for r in overlap.overlap_counts(df, "ref_no", "facts", "split", ["dataset", "source_id"]).collect()}
     assert sum(r.n_pairs for r in n.values()) == len(got)
     assert sum(r.n_overlapping for r in n.values()) == len({k for p in got for k in p if part[k] != "train"})
