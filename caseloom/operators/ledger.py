@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,31 @@ def open_requests(state: DataFrame, limit: int, request: str, done: tuple[str, .
     return left.orderBy("attempts", request).limit(limit)
 
 
-def streaks(ledger: DataFrame, by: str, order: list[str], failed) -> DataFrame:
-    """Runs of failures: (by, streak_no, n_failures, first, last) in the given order, for each value of ``by``."""
-    w = Window.partitionBy(by).orderBy(*order)
-    marked = ledger.withColumn("__f", failed.cast("int")).withColumn("__n", F.row_number().over(w)).withColumn("__g", F.sum(1 - F.col("__f")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = marked.where("__f = 1").groupBy(by, "__g").agg(F.count(F.lit(1)).alias("n_failures"), F.min("__n").alias("first_row"), F.max("__n").alias("last_row"))
-    return runs.select(by, F.row_number().over(Window.partitionBy(by).orderBy("first_row")).alias("streak_no"), "n_failures", "first_row", "last_row")
+def streaks(ledger: DataFrame, by: str, order: list[str], failed: Column, bucket: Column) -> DataFrame:
+    """Runs of failures: (by, streak_no, n_failures, first_row, last_row) in the given order, for each value of ``by``.
+
+    ``bucket`` cuts the order into ranges (a day of the first column, say).
+    Runs are found within each range, so no value of ``by`` is sorted in one
+    task; only the runs at the ends of ranges, two a range at most, are joined
+    to those of their neighbours, and numbers are carried over range by range.
+    """
+    inner = Window.partitionBy(by, "__b").orderBy(*order)
+    to_now = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = ledger.withColumn("__f", failed.cast("int")).withColumn("__b", bucket)
+    marked = marked.withColumn("__n", F.row_number().over(inner)).withColumn("__g", F.sum(1 - F.col("__f")).over(to_now))
+    ranges = Window.partitionBy(by).orderBy("__b")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__size")).withColumn("__at", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    runs = marked.where("__f = 1").groupBy(by, "__b", "__g").agg(F.count(F.lit(1)).alias("n_failures"), F.min("__n").alias("first"), F.max("__n").alias("last")).join(sizes, [by, "__b"])
+    runs = runs.select(by, "__b", "n_failures", (F.col("first") + F.col("__at")).alias("first_row"), (F.col("last") + F.col("__at")).alias("last_row"), ((F.col("first") == 1) | (F.col("last") == F.col("__size"))).alias("edge"))
+    ends = Window.partitionBy(by).orderBy("first_row")
+    new = F.when(F.lag("last_row").over(ends) == F.col("first_row") - 1, 0).otherwise(1)
+    edges = runs.where("edge").withColumn("__new", new).withColumn("__k", F.sum("__new").over(ends.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = edges.groupBy(by, "__k").agg(F.min("__b").alias("__b"), F.sum("n_failures").alias("n_failures"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"))
+    whole = runs.where("NOT edge").select(by, "__b", "n_failures", "first_row", "last_row").unionByName(joined.drop("__k"))
+    before = whole.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__runs")).withColumn("__done", F.coalesce(F.sum("__runs").over(earlier), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(by, "__b").orderBy("first_row")) + F.col("__done")
+    return whole.join(before, [by, "__b"]).select(by, number.alias("streak_no"), "n_failures", "first_row", "last_row")
 
 
 def pending_tasks(tasks: DataFrame, ledger: DataFrame, request: str) -> DataFrame:

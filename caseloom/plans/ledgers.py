@@ -49,7 +49,7 @@ WITH {_ONCE}, m AS (SELECT mode, (status IN ('rejected', 'api_error'))::INT AS f
 r AS (SELECT mode, g, count(*) AS n_failures, min(n) AS first_row, max(n) AS last_row FROM m WHERE f = 1 GROUP BY mode, g)
 SELECT mode, row_number() OVER (PARTITION BY mode ORDER BY first_row) AS streak_no, n_failures, first_row, last_row FROM r""")
 def failure_streaks(t: Tables) -> DataFrame:
-    return L.streaks(once(t), "mode", ["requested_at", "entry_no"], F.col("status").isin("rejected", "api_error"))
+    return L.streaks(once(t), "mode", ["requested_at", "entry_no"], F.col("status").isin("rejected", "api_error"), F.to_date("requested_at"))
 
 
 @P.add(f"WITH {_ONCE} SELECT mode, status, count(*) AS n, sum(usage.prompt_tokens)::BIGINT AS prompt_tokens, sum(usage.completion_tokens)::BIGINT AS completion_tokens, sum(elapsed_seconds) AS seconds FROM once GROUP BY mode, status")

@@ -75,11 +75,15 @@ def cosine_topk(t: Tables) -> DataFrame:
 
         def top(batches, sent=sent):
             ids, q = sent.value
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
+            if not len(ids):
+                return
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)  # a zero vector is like none
             for b in batches:
+                if not b.num_rows:
+                    continue
                 v = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
                 k = b.column("vec_id").to_numpy()
-                score = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                score = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
                 score[ids[:, None] == k[None, :]] = -2
                 at = np.lexsort((np.broadcast_to(k, score.shape), -score), axis=1)[:, :5]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, at.shape[1])), pa.array(k[at].ravel()), pa.array(np.take_along_axis(score, at, 1).ravel())], names=["query_id", "vec_id", "score"])

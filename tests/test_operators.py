@@ -222,8 +222,18 @@ def test_ledger(spark):
     state = L.fold(once, "request", "attempt", "status", "entry_no")
     assert {r.request: (r.state, r.attempts) for r in state.collect()} == {"r1": ("accepted", 3), "r2": ("pending", 1), "r3": ("api_error", 1), "r4": ("rejected", 3)}
     assert [r.request for r in L.open_requests(state, 10, "request").collect()] == ["r3"]
-    runs = L.streaks(df.withColumn("m", F.lit("x")), "m", ["at", "entry_no"], F.col("status") != "accepted").collect()
-    assert sorted(r.n_failures for r in runs) == [2, 6] or sum(r.n_failures for r in runs) == 8
+    rng = random.Random(4)
+    calls = [("xy"[i % 2], i // 3, i, rng.random() < 0.7) for i in range(200)]
+    want = []
+    for m in "xy":
+        seen = [f for k, _, _, f in calls if k == m]
+        starts = [i for i, f in enumerate(seen) if f and (i == 0 or not seen[i - 1])]
+        for no, i in enumerate(starts, 1):
+            n = next((j for j in range(i, len(seen)) if not seen[j]), len(seen)) - i
+            want.append((m, no, n, i + 1, i + n))
+    calls = spark.createDataFrame(calls, "m string, at bigint, no bigint, f boolean").repartition(3)
+    for bucket in (F.lit(0), F.floor(F.col("at") / 4), F.col("at")):  # one range, several, and runs that span many
+        assert sorted(map(tuple, L.streaks(calls, "m", ["at", "no"], F.col("f"), bucket).collect())) == sorted(want)
 
 
 BUNDLE = {
