@@ -1,7 +1,7 @@
 """Problem 9: pieces of oversized documents, cut at natural boundaries, with overlap.
 
 Method: a recursive hierarchy of separators.  A text is split into sections (at
-empty lines), what is still too large into paragraphs (lines), then sentences
+empty lines and headings), what is still too large into paragraphs (lines), then sentences
 (the chain model of problem 3), words and at last characters; the leaves are
 packed greedily up to the limit, and each further piece starts with a trailing
 part of the one before.
@@ -30,9 +30,11 @@ from . import tokens as K
 from .batches import slices
 
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
-_SECTION = re.compile(r"\n[^\S\n]*\n\s*")
+#: Sections end at empty lines and before headings (marked with #, numbered as parts or chapters, or by Roman numbers).
+_SECTION = re.compile(r"\n[^\S\n]*\n\s*|\n(?=#{1,6}\s|第[一二三四五六七八九十百零〇\d]+[章节節编編部]|[IVX]+\.\s)")
 _LINE = re.compile(r"\n\s*")
-_WORD = re.compile(r"\s+|(?<=[^\w\s])(?=\w)", re.UNICODE)
+#: Words end at blanks, behind punctuation and, in Japanese, where kana give way to ideographs.
+_WORD = re.compile(r"\s+|(?<=[^\w\s])(?=\w)|(?<=[\u3041-\u30ff])(?=[\u4e00-\u9fff])", re.UNICODE)
 
 
 class _Sized:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.llm import leakage, mixing, pieces, sampling, splits, tokens
+from caseloom.llm import sentences as S
 from caseloom.operators import components
 
 
@@ -172,6 +173,16 @@ TEXTS = [
 ]
 
 
+def test_cuts_at_headings_and_words():
+    model = S.listed_model()
+    text = "# A\n" + "Wort " * 150 + "\n# B\n" + "Wort " * 150 + "\n第二章 C\n" + "Wort " * 150
+    made = pieces.pieces(text, 200, 0, tokens.path_of(), model)
+    assert [text[a : a + 3] for a, *_ in made] == ["# A", "# B", "第二章"] and [m[4] for m in made] == ["section", "section", "end"]
+    text = "倉庫の鍵は証人の机に在り" * 200
+    made = pieces.pieces(text, 200, 0, tokens.path_of(), model)
+    assert {m[4] for m in made} == {"word", "end"} and all(text[a] in "鍵証机在倉" for a, *_ in made)
+
+
 @pytest.mark.parametrize("limit, overlap", [(200, 0), (200, 30), (1500, 100)])
 def test_pieces(spark, limit, overlap):
     rows = [(i, x, "t") for i, x in enumerate(TEXTS)]
