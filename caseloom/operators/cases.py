@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as X
 from caseloom.functions.ids import digest
+from caseloom.session import fits_broadcast
 
 #: Names under which a field may arrive, best first.
 ALIASES = {"facts": ("facts", "justice", "fact"), "charge": ("charge", "caseCause"), "sentence_months": ("sentence_months", "judge"), "source_id": ("source_id", "filename", "id")}
@@ -56,7 +57,7 @@ def adapt(raw: DataFrame, charges: DataFrame, max_chars: int | None = None) -> D
     """
     names = charges.where("charge IS NOT NULL").groupBy(X.charge_key("charge").alias("__key")).agg(F.min("charge").alias("listed_charge"))
     only = F.when(F.size("meta.accusation") == 1, F.get("meta.accusation", F.lit(0)))
-    rows = raw.withColumn("__key", X.charge_key(only)).join(F.broadcast(names), "__key", "left").drop("__key")
+    rows = raw.withColumn("__key", X.charge_key(only)).join(F.broadcast(names) if fits_broadcast(names, 10_000) else names, "__key", "left").drop("__key")
     term = F.col("meta.term_of_imprisonment")
     flag = lambda name: F.coalesce(term[name], F.lit(True))  # noqa: E731  (missing counts as set)
     months = term["imprisonment"]
@@ -74,6 +75,27 @@ def adapt(raw: DataFrame, charges: DataFrame, max_chars: int | None = None) -> D
     return rows.withColumn("reason", reason)
 
 
+def candidates(raw: DataFrame, charges: DataFrame, max_chars: int = 2400) -> DataFrame:
+    """Raw records as annotation candidates: their charge as listed, the one person they concern, and the first reason against them.
+
+    Reasons in order: charge_scope (not exactly one), outside_charges,
+    target_scope (not exactly one named person), non_fixed_positive_term,
+    empty_or_overlength_facts.
+    """
+    names = charges.where("charge IS NOT NULL").groupBy(X.charge_key("charge").alias("__key")).agg(F.min("charge").alias("listed_charge"))
+    only = F.when(F.size("meta.accusation") == 1, F.get("meta.accusation", F.lit(0)))
+    person = F.when(F.size("meta.criminals") == 1, F.get("meta.criminals", F.lit(0)))
+    names = F.broadcast(names) if fits_broadcast(names, 10_000) else names
+    rows = raw.withColumn("__key", X.charge_key(only)).join(names, "__key", "left").drop("__key").withColumn("target_person", F.when(X.trim_space(person) != "", person))
+    term = F.col("meta.term_of_imprisonment")
+    fixed = ~F.coalesce(term["death_penalty"], F.lit(True)) & ~F.coalesce(term["life_imprisonment"], F.lit(True)) & (F.coalesce(term["imprisonment"], F.lit(0)) > 0)
+    reason = (
+        F.when(only.isNull(), "charge_scope").when(F.col("listed_charge").isNull(), "outside_charges").when(F.col("target_person").isNull(), "target_scope").when(~fixed, "non_fixed_positive_term")
+        .when(F.col("fact").isNull() | (X.trim_space("fact") == "") | (F.char_length("fact") > max_chars), "empty_or_overlength_facts")
+    )
+    return rows.withColumn("reason", reason)
+
+
 def exact_groups(df: DataFrame, key: str, form: Column, least: int = 2) -> DataFrame:
     """(text_hash, n_rows, first_key) of texts that stand ``least`` times or more in the given form; null and blank texts are left out."""
     rows = df.select(key, form.alias("__f")).where("__f IS NOT NULL AND __f <> ''")

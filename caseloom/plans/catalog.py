@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cases, evaluation, ledgers, logic, protocols, stars, streams, texts
+from . import audits, cases, evaluation, ledgers, logic, protocols, stars, streams, texts
 
-MODULES = [cases, texts, evaluation, ledgers, logic, protocols, stars, streams]
+MODULES = [cases, audits, texts, evaluation, ledgers, logic, protocols, stars, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,6 +33,11 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType, require: boo
     return reader.option("multiLine", True).json(path) if first == "[" else reader.json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One JSON document of a given schema a file, a byte-order mark looked over; a file that doesn't fit raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+
+
 def write_rows(df: DataFrame, path: str, form: str = "json") -> None:
     """Writes to a new folder only; Spark's commit protocol makes the result all or nothing."""
     df.write.mode("errorifexists").format(form).save(path)
