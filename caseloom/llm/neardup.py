@@ -14,9 +14,11 @@ probability 0.0007, one at 0.80 with 0.000003.
 Scale: copies are collapsed first and stand as one text.  Variants are counted
 before any pairing (map-side combined), only those that hold two texts or more
 are joined, and only variants of up to ``MOST`` texts give pairs.  A variant
-held by more texts is dealt out in blocks: every two blocks meet, and all pairs
-across them that have enough symbols in common are verified, unless links found
-before already connect them.  So the same pairs are compared at every size.
+held by more texts is dealt out in blocks: each text is linked to its nearest
+block mates, which joins a dense group in linear time, and only texts left
+outside the variant's main component then meet all of its texts.  So no link
+between components is lost, and a family of versions of one text, however
+large, isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ from .classes import fingerprints, verified
 SEGMENTS, SYMBOLS = 7, 4
 #: Texts under one variant that are paired directly.
 MOST = 48
-#: Texts in one block of a fuller variant.
+#: Texts in one block of a fuller variant, and nearest texts of its block that each is compared with first.
 BLOCK = 1024
+MATES = 3
 
 #: Symbols of 28 that two texts must have in common to be verified.  At a similarity
 #: of 0.70 the number is 19.6 on average and below this once in 5,000 pairs.
@@ -103,51 +106,82 @@ def _pairs_under(postings: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataF
     return pairs, join_unique(postings, crowded.select("v"), ["v"], counts=crowded)
 
 
-def _block_pairs(hot: DataFrame, reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Pairs of texts (a, b) under a hot variant (v, id) that have enough symbols in common.
+def _common(group: pa.Table, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Symbols that each row of x has in common with each row of y."""
+    symbols = np.stack([group.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint8)[:, : SEGMENTS * SYMBOLS].T.copy()
+    same = np.zeros((len(x), len(y)), np.uint8)
+    for row in symbols:
+        same += row[x][:, None] == row[y][None, :]
+    return same
 
-    A variant's texts are dealt out in blocks of some ``BLOCK``, and every two of
-    its blocks meet in one group, so no group grows with the variant.  Without
-    ``labels`` only each text's best partner in a group is given; with them
-    (node, component) all pairs that are not in one component.
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _mates(hot: DataFrame, marks: DataFrame, sizes: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of each text under a hot variant (v, id) with the ``MATES`` that have most in common with it among the texts dealt into one block with it."""
+    dealt = join_unique(hot, sizes.select("v", F.ceil(F.col("n") / BLOCK).alias("parts")), ["v"], counts=sizes)
+    dealt = dealt.select("v", "id", F.pmod(F.xxhash64(F.lit(salt), "id"), "parts").alias("p")).join(marks, "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, every = group.column("id").to_numpy(), np.arange(group.num_rows)
+        same = _common(group, every, every)
+        same[every, every] = 0
+        k = min(MATES, len(ids))
+        best = np.argpartition(-same.astype(np.int16), k - 1, axis=1)[:, :k]
+        row = np.repeat(every, k)
+        good = same[row, best.ravel()] >= AGREE
+        return _ordered(ids[row[good]], ids[best.ravel()[good]])
+
+    return dealt.select("v", "p", "id", *WORDS).groupBy("v", "p").applyInArrow(run, "a bigint, b bigint").where("a < b").distinct()
+
+
+def _across(hot: DataFrame, marks: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs (a, b) under a hot variant that have enough in common and aren't in one component (node, component) yet.
+
+    The texts outside a variant's main component meet all texts of the variant,
+    both dealt out in blocks; those inside it needn't meet each other.
     """
-    sizes = cut(hot.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    marks = reps.select("id", *WORDS)
-    marks = marks.withColumn("of", F.col("id")) if labels is None else marks.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", *WORDS, F.coalesce("component", "id").alias("of"))
-    dealt = join_unique(hot.select("v", "id"), sizes.select("v", F.ceil(F.col("n") / BLOCK).alias("parts")), ["v"], counts=sizes)
-    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("id"), "parts")).join(marks, "id")
-    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q"))
-    best = labels is None
+    named = hot.join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("component", "id").alias("of"))
+    named = cut(named, "named")
+    main = named.groupBy("v", "of").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max(F.struct("c", "of")).alias("m"))
+    plan = sizes.join(main, "v").select("v", "n", F.col("m.of").alias("main"), F.ceil(F.col("n") / BLOCK).alias("parts"), F.ceil((F.col("n") - F.col("m.c")) / BLOCK).alias("outer")).where("outer > 0")
+    open_ = join_unique(named, cut(plan, "plan"), ["v"], counts=sizes)
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    spread_over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = open_.select("v", "id", "of", own("parts").alias("p"), spread_over("outer").alias("q"), F.lit(0).alias("side"))
+    outside = open_.where("of <> main").select("v", "id", "of", own("outer").alias("q"), spread_over("parts").alias("p"), F.lit(1).alias("side")).select("v", "id", "of", "p", "q", "side")
+    dealt = every.unionByName(outside).join(marks, "id")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, part, of = (group.column(c).to_numpy() for c in ("id", "p", "of"))
-        low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        symbols = np.stack([group.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint8)[:, : SEGMENTS * SYMBOLS].T.copy()
-        x, y = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        same = np.zeros((len(x), len(y)), np.uint8)
-        for row in symbols:
-            same += row[x][:, None] == row[y][None, :]
-        same[(same < AGREE) | (of[x][:, None] == of[y][None, :])] = 0
-        if best and same.size:
-            kept = np.zeros_like(same)
-            at = same.argmax(0), np.arange(len(y))
-            kept[at] = same[at]
-            at = np.arange(len(x)), same.argmax(1)
-            kept[at] = same[at]
-            same = kept
-        a, b = np.nonzero(same)
-        a, b = ids[x[a]], ids[y[b]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.select("v", "i", "j", "p", "id", "of", *WORDS).groupBy("v", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+        ids, of, side = (group.column(c).to_numpy() for c in ("id", "of", "side"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = _common(group, x, y)
+        a, b = np.nonzero((same >= AGREE) & (of[x][:, None] != of[y][None, :]))
+        return _ordered(ids[x[a]], ids[y[b]])
+
+    return dealt.select("v", "p", "q", "side", "id", "of", *WORDS).groupBy("v", "p", "q").applyInArrow(run, "a bigint, b bigint").where("a < b").distinct()
 
 
 def _linked_in_blocks(hot: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """``found`` and what else connects the texts of hot variants: best partners first, then every pair that those leave apart."""
+    """``found`` and what else connects the texts of hot variants.
+
+    First each text's nearest block mates, twice dealt out, which joins what is
+    dense in linear time; then whatever stands outside a variant's main
+    component meets all of it, so that no link between components is missed.
+    """
+    sizes = cut(hot.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    marks = reps.select("id", *WORDS)
     found = cut(found, "links")
-    found = cut(found.unionByName(verified(cut(_block_pairs(hot, reps).join(found, ["a", "b"], "left_anti"), "pairs"), texts, key, text, "jaccard", least)), "links")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return verified(cut(pairs.join(found, ["a", "b"], "left_anti"), "pairs"), texts, key, text, "jaccard", least)
+
+    near = _mates(hot, marks, sizes, 0).unionByName(_mates(hot, marks, sizes, 1)).distinct()
+    found = cut(found.unionByName(checked(near)), "links")
     labels = cut(connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    return found.unionByName(verified(cut(_block_pairs(hot, reps, labels), "pairs"), texts, key, text, "jaccard", least))
+    return found.unionByName(checked(_across(hot, marks, sizes, labels)))
 
 
 def links(df: DataFrame, key: str, text: str, least: float = 0.70) -> tuple[DataFrame, DataFrame]:
