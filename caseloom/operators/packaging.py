@@ -52,7 +52,7 @@ def check_job_fields(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 #: Fixed value: how much of the rules a prompt shows: nothing, the rules, also the evidence, also the composed states.
-VARIANTS = ("base", "rules", "concat", "egc")
+VARIANTS = ("base", "rules", "concat", "composed")
 
 
 def variant_body(df: DataFrame, variant: str, rules: Column, evidence: Column, trace: Column, person: str | None = None) -> Column:

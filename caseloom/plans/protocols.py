@@ -357,7 +357,7 @@ _RULES = "[1,2]"
 @P.add(f"""
 WITH {_STATES}, v AS (SELECT t.ref_no, t.id, t.split, {json_text("t.charge")} AS c, {json_text("t.facts")} AS f, 'base' || chr(44) || coalesce(st.returned::VARCHAR, 'null') AS e FROM train_references t JOIN st USING (ref_no) WHERE t.split IN ('dev', 'test') AND t.facts IS NOT NULL AND t.charge IS NOT NULL),
 b AS (SELECT ref_no, id, split, unnest([{{'v': 'base', 'u': '{{"charge":' || c || ',"facts":' || f || '}}'}}, {{'v': 'rules', 'u': '{{"candidate_rules":"{_RULES}","charge":' || c || ',"facts":' || f || '}}'}},
-  {{'v': 'concat', 'u': '{{"candidate_rules":"{_RULES}","charge":' || c || ',"condition_evidence":"' || e || '","facts":' || f || '}}'}}, {{'v': 'egc', 'u': '{{"candidate_rules":"{_RULES}","charge":' || c || ',"composed_rule_trace":"open","condition_evidence":"' || e || '","facts":' || f || '}}'}}]) AS x FROM v)
+  {{'v': 'concat', 'u': '{{"candidate_rules":"{_RULES}","charge":' || c || ',"condition_evidence":"' || e || '","facts":' || f || '}}'}}, {{'v': 'composed', 'u': '{{"candidate_rules":"{_RULES}","charge":' || c || ',"composed_rule_trace":"open","condition_evidence":"' || e || '","facts":' || f || '}}'}}]) AS x FROM v)
 SELECT ref_no, id, split, x.v AS variant, sha256({messages_sql(_ANSWER, "x.u")}) AS prompt_hash FROM b""")
 def variant_jobs(t: Tables) -> DataFrame:
     """Jobs of all four variants of what a prompt shows, by hash."""
