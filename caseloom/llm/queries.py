@@ -139,7 +139,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents")
-    return pieces.split_oversized(rows, "doc_id", "text", model=sentences.train(sentences.sample(rows, "doc_id", "text")))
+    return pieces.split_oversized(rows, "doc_id", "text", model=sentences.train(sentences.sample(rows, "doc_id", "text", 1500)))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
