@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from caseloom.functions.text import gram_hashes
 from caseloom.session import cut, fits_broadcast, join_unique, spread
 
+from . import containment as C
+
 LEAST_RUNS = 20
 #: Guard run hashes that may be broadcast (12 bytes each, some 25 MB); more take a shuffle join.
 MOST_BROADCAST = 1_000_000
+#: Keys (8 bytes each) that may be broadcast to leave texts out before they are shuffled.
+MOST_KEYS = 1_000_000
 
 
 def text_classes(grams: DataFrame, order: Column | None = None) -> DataFrame:
@@ -29,8 +33,18 @@ def text_classes(grams: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def gram_table(df: DataFrame, key: str, form: Column) -> DataFrame:
-    """(id, form_hash, runs) of every text that isn't null or blank in its normal form."""
-    return spread(df.select(F.col(key).alias("id"), form.alias("__f"))).where("__f IS NOT NULL AND __f <> ''").select("id", F.xxhash64("__f").alias("form_hash"), gram_hashes(F.col("__f")).alias("runs"))
+    """(id, form_hash, form, runs) of every text that isn't null or blank in its normal form; runs are computed where they are asked for."""
+    return spread(df.select(F.col(key).alias("id"), form.alias("form"))).where("form IS NOT NULL AND form <> ''").select("id", F.xxhash64("form").alias("form_hash"), "form", gram_hashes(F.col("form")).alias("runs"))
+
+
+def written(grams: DataFrame) -> DataFrame:
+    """(id, form_hash, form) of a gram table, written once: what classes and pairs are made of."""
+    return cut(grams.select("id", "form_hash", "form"), "forms", "zstd")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    keys = cut(keys, "keys")
+    return F.broadcast(keys) if fits_broadcast(keys, MOST_KEYS) else keys
 
 
 def guard_matches(corpus: DataFrame, guard: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -49,29 +63,33 @@ def guard_matches(corpus: DataFrame, guard: DataFrame, threshold: float = 0.85)
     return near.unionByName(exact).distinct()
 
 
+def _text_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n_shared, n_least) of pairs of texts (id, form and maybe side), each standing once: candidates, verified on whole texts."""
+    pairs = C.candidates(texts, threshold, LEAST_RUNS)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = texts.select("id", "form").join(_few(ids), "id", "left_semi")
+    both = join_unique(pairs, some.select(F.col("id").alias("a"), F.col("form").alias("fa")), ["a"])
+    both = join_unique(both, some.select(F.col("id").alias("b"), F.col("form").alias("fb")), ["b"], counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    kind = pairs.schema["a"].dataType.simpleString()
+    checked = both.select("a", "b", "fa", "fb").mapInArrow(C.shared_runs, f"a {kind}, b {kind}, n_shared bigint, n_least int")
+    return checked.where(f"n_least >= {LEAST_RUNS}").where(F.col("n_shared") >= F.col("n_least") * threshold - 1e-9)
+
+
 def containment_pairs(grams: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, n_shared, n_least) of all pairs a < b of different texts within one gram table.
 
     Copies stand as one text under their least id; ``text_classes`` tells which
     rows it stands for, so a text that stands a million times gives no more
     pairs than one that stands once.
-
-    Prefix filter: if the smaller text shares enough, it shares one of its
-    ``n - ceil(threshold n) + 1`` rarest runs with the larger.  Only those are
-    joined to the full sets, then candidates are verified on whole sets.
     """
-    once = grams.groupBy("form_hash").agg(F.min_by(F.struct("id", "runs"), "id").alias("x")).select("x.id", "x.runs")
-    sized = cut(once.withColumn("n", F.size("runs")), "grams")
-    flat = sized.select("id", "n", F.explode("runs").alias("run"))
-    often = flat.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # Runs that stand in one text only come first in the order of rarity and match nothing.
-    kept = flat.join(often, "run")
-    ranked = kept.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("r"))
-    head = ranked.select("id", "n", F.explode(F.expr("slice(r, 1, greatest(0, n - cast(ceil(n * {0} - 1e-9) as int) + 1 - (n - size(r))))".format(threshold))).alias("x")).select("id", "n", F.col("x.run").alias("run"))
-    pairs = head.where(f"n >= {LEAST_RUNS}").alias("s").join(kept.alias("l"), "run").where("s.n < l.n OR (s.n = l.n AND s.id <> l.id)").select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b")).distinct()
-    left, right = sized.select(F.col("id").alias("a"), F.col("runs").alias("ra")), sized.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
-    checked = cut(pairs, "pairs").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ra", "rb")).cast("bigint").alias("n_shared"), F.least(F.size("ra"), F.size("rb")).alias("n_least"))
-    return checked.where(F.col("n_shared") >= F.col("n_least") * threshold)
+    return pairs_of_written(written(grams), threshold)
+
+
+def pairs_of_written(forms: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``containment_pairs`` of a table that ``written`` made."""
+    classes = forms.groupBy("form_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = join_unique(forms.select("id", "form_hash"), classes.select("form_hash", "rep"), ["form_hash"], counts=classes.select("form_hash", "n"))
+    return _text_pairs(forms.join(_few(copies.where("id <> rep").select("id")), "id", "left_anti").select("id", "form"), threshold)
 
 
 def greedy_distinct(rows: DataFrame, key: str, form: Column, order: Column, threshold: float = 0.85) -> DataFrame:
