@@ -15,8 +15,8 @@ from caseloom.session import cut, fits_broadcast, join_unique, spread
 from . import containment as C
 
 LEAST_RUNS = 20
-#: Guard run hashes that may be broadcast (12 bytes each, some 25 MB); more take a shuffle join.
-MOST_BROADCAST = 1_000_000
+#: Guard run hashes that may be broadcast (12 bytes each, some 6 MB); more take the join of all texts.
+MOST_BROADCAST = 250_000
 #: Keys (8 bytes each) that may be broadcast to leave texts out before they are shuffled.
 MOST_KEYS = 1_000_000
 
@@ -50,19 +50,35 @@ def _few(keys: DataFrame) -> DataFrame:
 def guard_matches(corpus: DataFrame, guard: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, guard_id, n_shared, n_least) of corpus texts contained in, or containing, a guard text.
 
-    Both sides are gram tables.  Runs meet in one equi-join, broadcast when the
-    guard's runs are few enough (counted first).
+    Both sides are gram tables.  The guard's runs are broadcast when they are
+    few enough (counted first); else candidates are found among all texts.
     """
     g = guard.select(F.col("id").alias("guard_id"), F.size("runs").alias("gn"), F.explode("runs").alias("run"))
-    few = fits_broadcast(g, MOST_BROADCAST)
-    c = corpus.select("id", F.size("runs").alias("cn"), F.explode("runs").alias("run"))
-    shared = c.join(F.broadcast(g) if few else g, "run").groupBy("id", "guard_id").agg(F.count(F.lit(1)).alias("n_shared"), F.least(F.first("cn"), F.first("gn")).alias("n_least"))
-    near = shared.where(f"n_least >= {LEAST_RUNS} AND n_shared >= {threshold} * n_least")
+    if fits_broadcast(g, MOST_BROADCAST):
+        c = corpus.select("id", F.size("runs").alias("cn"), F.explode("runs").alias("run"))
+        shared = c.join(F.broadcast(g), "run").groupBy("id", "guard_id").agg(F.count(F.lit(1)).alias("n_shared"), F.least(F.first("cn"), F.first("gn")).alias("n_least"))
+        near = shared.where(f"n_least >= {LEAST_RUNS} AND n_shared >= {threshold} * n_least")
+    else:
+        near = _near_guard(corpus, guard, threshold)
     hashes = guard.select(F.col("id").alias("guard_id"), "form_hash", F.size("runs").alias("n"))
     exact = corpus.select("id", "form_hash").join(hashes, "form_hash").select("id", "guard_id", F.col("n").cast("bigint").alias("n_shared"), F.col("n").alias("n_least"))
     return near.unionByName(exact).distinct()
 
 
+def _near_guard(corpus: DataFrame, guard: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of corpus and guard rows of different texts: texts of both sides stand once, under their form's hash, and only sides that differ meet."""
+    rows = cut(corpus.select(F.lit(1).alias("side"), "id", "form_hash", "form").unionByName(guard.select(F.lit(2).alias("side"), "id", "form_hash", "form")), "sides", "zstd")
+    own = F.struct("side", "id")
+    classes = rows.groupBy("form_hash").agg(F.min(own).alias("f"), F.bit_or("side").alias("both"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = _few(join_unique(rows.select("side", "id", "form_hash"), classes.select("form_hash", "f"), ["form_hash"], counts=classes.select("form_hash", "n")).where(own != F.col("f")).select("side", "id"))
+    both = _few(classes.where("both = 3").select("form_hash", "both"))
+    texts = rows.join(later, ["side", "id"], "left_anti").join(both, "form_hash", "left").select(F.col("form_hash").alias("id"), "form", F.coalesce("both", "side").alias("side"))
+    pairs = cut(_text_pairs(texts, threshold), "near")
+    met = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "n_shared", "n_least").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "n_shared", "n_least"))
+    c, g = rows.where("side = 1").select("id", F.col("form_hash").alias("x")), rows.where("side = 2").select(F.col("id").alias("guard_id"), F.col("form_hash").alias("y"))
+    return met.join(c, "x").join(g, "y").select("id", "guard_id", "n_shared", "n_least")
+
+
 def _text_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, n_shared, n_least) of pairs of texts (id, form and maybe side), each standing once: candidates, verified on whole texts."""
     pairs = C.candidates(texts, threshold, LEAST_RUNS)

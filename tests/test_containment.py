@@ -79,3 +79,22 @@ def test_a_text_of_many_runs():
     assert place.max() == n[0] - 1 and set(h[row == 2]) <= set(h[row == 0]) and not level.any()
     t, m, s = C.asked(np.array([20, 60, 140, 1, 70_000]), 0.85)
     assert list(t) == [17, 51, 119, 1, 59_500] and (s > m).all()
+
+
+def test_large_guard_without_its_runs(spark, monkeypatch):
+    """Beyond what may be broadcast no row's runs are exploded; copies and texts on both sides are told by their rows."""
+    monkeypatch.setattr(M, "MOST_BROADCAST", 10)
+    rows = reworked(4, 30)
+    grams = M.gram_table(spark.createDataFrame(rows, "i bigint, t string"), "i", X.without_space("t"))
+    found = M.guard_matches(grams.where("id % 3 <> 0"), grams.where("id % 3 = 0"))
+    forms = {i: f for i, x in rows if (f := "".join((x or "").split()))}
+    runs = {i: {f[k : k + 5] for k in range(max(1, len(f) - 4))} for i, f in forms.items()}
+    want = set()
+    for a, x in runs.items():
+        for b, y in runs.items():
+            if a % 3 and b % 3 == 0:
+                n, least = len(x & y), min(len(x), len(y))
+                if forms[a] == forms[b] or least >= 20 and 100 * n >= 85 * least:
+                    want.add((a, b, n, least))
+    assert {tuple(r) for r in found.collect()} == want and any(forms[a] == forms[b] for a, b, _, _ in want)
+    assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
