@@ -64,10 +64,10 @@ d AS (SELECT id, count(*) AS n FROM near GROUP BY id), fl AS (SELECT ref_no, coa
 SELECT fl.ref_no, n_risks, coalesce(rep.copies, 0) AS copies, coalesce(d.n, 0) AS near_texts, n_risks > 0 OR coalesce(rep.copies, 0) > 1 OR coalesce(d.n, 0) > 0 AS review FROM fl LEFT JOIN rep ON rep.id = fl.ref_no LEFT JOIN d ON d.id = rep.rep""")
 def input_audit(t: Tables) -> DataFrame:
     """Every record with its risks, the copies of its text and the other texts near it, and whether it asks for review."""
-    grams_ = M.gram_table(t.train_references, "ref_no", X.normalized_fact("facts"))
-    pairs = M.containment_pairs(grams_)
+    forms = M.written(M.gram_table(t.train_references, "ref_no", X.normalized_fact("facts")))
+    pairs = M.pairs_of_written(forms)
     near = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("near_texts"))
-    members = M.text_classes(grams_).withColumnRenamed("id", "ref_no").join(near, "rep", "left")
+    members = M.text_classes(forms).withColumnRenamed("id", "ref_no").join(near, "rep", "left")
     rows = t.train_references.select("ref_no", F.coalesce(F.size(X.input_risks("facts")), F.lit(0)).alias("n_risks")).join(members, "ref_no", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select("ref_no", F.greatest("n_risks", F.lit(0)).alias("n_risks"), n("copies"), n("near_texts")).withColumn("review", (F.col("n_risks") > 0) | (F.col("copies") > 1) | (F.col("near_texts") > 0))

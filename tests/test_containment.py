@@ -98,3 +98,34 @@ def test_large_guard_without_its_runs(spark, monkeypatch):
                     want.add((a, b, n, least))
     assert {tuple(r) for r in found.collect()} == want and any(forms[a] == forms[b] for a, b, _, _ in want)
     assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def bytes_written(monkeypatch, *modules):
+    """A list that gets the size of every table that ``cut`` writes for these modules."""
+    wrote, cut = [], M.cut
+
+    def seen(df, *a, **k):
+        out = cut(df, *a, **k)
+        wrote.append(sum(os.path.getsize(p.removeprefix("file://")) for p in out.inputFiles()))
+        return out
+
+    for module in modules:
+        monkeypatch.setattr(module, "cut", seen)
+    return wrote
+
+
+def test_input_audit_without_run_tables(spark, tmp_path, monkeypatch):
+    from caseloom.plans import audits
+
+    wrote = bytes_written(monkeypatch, M, C)
+    rows = reworked(5, 40)
+    spark.createDataFrame(rows, "ref_no bigint, facts string").write.parquet(f"{tmp_path}/train_references.parquet")
+    got = {r.ref_no: (r.copies, r.near_texts, r.review) for r in audits.QUERIES["input_audit"](spark, str(tmp_path)).collect()}
+    forms = {i: "".join((x or "").split()) for i, x in rows}
+    first = {f: min(i for i, g in forms.items() if g == f) for f in forms.values()}
+    near = [x for p in expected(rows) for x in p[:2]]
+    want = {}
+    for i, f in forms.items():
+        copies, n = (list(forms.values()).count(f), near.count(first[f])) if f else (0, 0)
+        want[i] = (copies, n, copies > 1 or n > 0)
+    assert got == want and sum(wrote) < 6 * sum(len(x) for _, x in rows if x)
