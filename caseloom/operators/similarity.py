@@ -114,12 +114,11 @@ def greedy_distinct(rows: DataFrame, key: str, form: Column, order: Column, thre
     Of copies only the first in ``order`` can be kept, so pairs are made of one
     row a text.  Rows with null or blank text match nothing and stay.
     """
-    grams = cut(gram_table(rows, key, form), "runs")
-    members = cut(text_classes(grams.join(rows.select(F.col(key).alias("id"), order.alias("__o")), "id"), F.col("__o")), "members")
-    first = grams.join(members.where("id = rep").select("id"), "id", "left_semi")
-    pairs = containment_pairs(first, threshold)
-    later = members.where("id <> rep").select(F.col("id").alias(key))
-    return greedy_keep(rows.join(later, key, "left_anti"), pairs, key, order)
+    forms = written(gram_table(rows, key, form))
+    members = text_classes(forms.select("id", "form_hash").join(rows.select(F.col(key).alias("id"), order.alias("__o")), "id"), F.col("__o"))
+    later = _few(members.where("id <> rep").select("id"))
+    pairs = cut(_text_pairs(forms.join(later, "id", "left_anti").select("id", "form"), threshold), "near")
+    return greedy_keep(rows.join(later.withColumnRenamed("id", key), key, "left_anti"), pairs, key, order)
 
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame, key: str, order: Column) -> DataFrame:

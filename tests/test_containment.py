@@ -129,3 +129,22 @@ def test_input_audit_without_run_tables(spark, tmp_path, monkeypatch):
         copies, n = (list(forms.values()).count(f), near.count(first[f])) if f else (0, 0)
         want[i] = (copies, n, copies > 1 or n > 0)
     assert got == want and sum(wrote) < 6 * sum(len(x) for _, x in rows if x)
+
+
+def test_greedy_without_run_tables(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    wrote = bytes_written(monkeypatch, M, C)
+    rows = reworked(6, 40)
+    near = {frozenset(p[:2]) for p in expected(rows)}
+    forms = {i: "".join((x or "").split()) for i, x in rows}
+    last = {f: max(i for i, g in forms.items() if g == f) for f in forms.values()}
+    first = {f: min(i for i, g in forms.items() if g == f) for f in forms.values()}
+    kept = []
+    for i, _ in reversed(rows):
+        f = forms[i]
+        if not f or (i == last[f] and not any(frozenset((first[f], first[forms[k]])) in near for k in kept if forms[k])):
+            kept.append(i)
+    got = M.greedy_distinct(spark.createDataFrame(rows, "i bigint, t string"), "i", X.without_space("t"), -F.col("i"))
+    assert sorted(r.i for r in got.collect()) == sorted(kept)
+    assert sum(wrote) < 6 * sum(len(x) for _, x in rows if x)
